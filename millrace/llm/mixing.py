@@ -16,6 +16,8 @@ from ..session import cut, stable_hash
 from .tokens import VOCABULARY, token_count
 
 SEED = 20
+#: Rate rows that are broadcast at most (about 1 MB).
+SMALL = 10_000
 
 
 def uniform(*cols: Column | str, seed: int = SEED) -> Column:
@@ -54,11 +56,13 @@ def rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 def mix(sizes: DataFrame, rate_table: DataFrame, id_col: str, seed: int = SEED) -> DataFrame:
     """(id, source, n_tokens, copy_no): the documents of the mixture, copies numbered from 1.
 
-    The join is on the source; the rate table has a row for each target and is broadcast when its
-    size allows, and is joined by AQE's skew handling otherwise, so a source with a third of all rows
-    stays spread over the tasks that read it.
+    The rate table has a row for each target; it is broadcast while it has at most ``SMALL`` rows, so
+    a source with a third of all rows stays spread over the tasks that read it, and joined by key
+    beyond that (with more targets than that no source is large for its key).
     """
     r = rate_table.select("source", "rate")
+    if r.limit(SMALL + 1).count() <= SMALL:
+        r = F.broadcast(r)
     n = F.floor("rate") + (uniform(F.col(id_col), F.col("source"), seed=seed) < F.col("rate") - F.floor("rate")).cast("int")
     return (
         sizes.join(r, "source").withColumn("copies", n.cast("int")).where("copies > 0")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, tokens
+from . import lookalike, mixing, survivor, tokens
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -32,9 +32,17 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached(*_mixture(spark, d))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.survivors(_t(spark, d, "kb_records"), _t(spark, d, "kb_sources"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.same_reading(_t(spark, d, "query_terms").where("stop = false"), _t(spark, d, "kb_records"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
+    return {"p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": survivor.SQL}
