@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lookalike, mixing, survivor, tokens
+from . import language, lookalike, mixing, survivor, tokens
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -40,8 +40,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_reading(_t(spark, d, "query_terms").where("stop = false"), _t(spark, d, "kb_records"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.mislabelled(language.segments(_t(spark, d, "documents")))
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language.segments(_t(spark, d, "documents")).select("doc_id", "seg_no", "lang", "confidence", "start", "length")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
+    return {"p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_segments": p9_segments}
 
 
 def oracle_sql() -> dict[str, str]:
