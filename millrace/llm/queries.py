@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lookalike, mixing, survivor, tokens
+from . import language, lookalike, mixing, namelink, survivor, tokens
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -32,6 +32,14 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached(*_mixture(spark, d))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return namelink.same_organisation(_t(spark, d, "kb_records"))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    return namelink.membership(_t(spark, d, "kb_records"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivors(_t(spark, d, "kb_records"), _t(spark, d, "kb_sources"))
 
@@ -49,7 +57,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_segments": p9_segments}
+    return {"p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_segments": p9_segments}
 
 
 def oracle_sql() -> dict[str, str]:
