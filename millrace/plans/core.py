@@ -2,9 +2,30 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import units
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _harmonized(spark: SparkSession, d: str) -> DataFrame:
+    return units.harmonize(*(_t(spark, d, n) for n in ("price_hits", "sites", "fx_rates", "unit_factors")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _harmonized(spark, d).where("not stated").select("hit_id", "common_unit", "amount_e4")
+
+
+def p2_units(spark: SparkSession, d: str) -> DataFrame:
+    """All converted rows with the scale that was decoded."""
+    return _harmonized(spark, d).select("hit_id", "common_unit", "common_amount", "scale", "stated")
+
 
 def queries():
-    return {}
+    return {"p2_found": p2_found, "p2_units": p2_units}
 
 
 def oracle_sql():
