@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lookalike, mixing, namelink, survivor, tokens
+from . import boilerplate, language, lookalike, mixing, namelink, residue, survivor, tokens
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -32,6 +32,18 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached(*_mixture(spark, d))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.furniture_lines(_t(spark, d, "fetched_docs"))
+
+
+def p1_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "fetched_docs").select("doc_id", boilerplate.main_body("body").alias("main_body"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.found(_t(spark, d, "fetched_docs"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return namelink.same_organisation(_t(spark, d, "kb_records"))
 
@@ -57,7 +69,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_segments": p9_segments}
+    return {"p1_found": p1_found, "p1_bodies": p1_bodies, "p5_found": p5_found, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_segments": p9_segments}
 
 
 def oracle_sql() -> dict[str, str]:
