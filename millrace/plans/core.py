@@ -1,18 +1,16 @@
-"""Queries of the core operators over the test tables, and their SQL."""
+"""All queries of the core operators over the test tables, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import units
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+from . import tables
+from .tables import t
 
 
 def _harmonized(spark: SparkSession, d: str) -> DataFrame:
-    return units.harmonize(*(_t(spark, d, n) for n in ("price_hits", "sites", "fx_rates", "unit_factors")))
+    return units.harmonize(*(t(spark, d, n) for n in ("price_hits", "sites", "fx_rates", "unit_factors")))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -24,9 +22,13 @@ def p2_units(spark: SparkSession, d: str) -> DataFrame:
     return _harmonized(spark, d).select("hit_id", "common_unit", "common_amount", "scale", "stated")
 
 
-def queries():
-    return {"p2_found": p2_found, "p2_units": p2_units}
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return tables.where_numeric_and(spark, d)
+
+
+def queries() -> dict:
+    return {"p2_found": p2_found, "p2_units": p2_units, **tables.Q}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(tables.SQL)
