@@ -165,21 +165,43 @@ def substring_score(text: Column, query_norm: str) -> Column:
     return F.coalesce(F.when(t == query_norm, 1.0).when(at > 0, inside), F.lit(0.0))
 
 
-def record_score(query_norm: str) -> Column:
-    """The best weighted field of a record: names and aliases 1, English 0.96, description 0.7, category 0.6, URL 0.45."""
-    joined = F.concat_ws("\n", "aliases")  # aliases are scored one by one inside the function
+_FIELDS = ["name_zh", "name_en", "category", "description", "official_url"]
+_VERDICT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("exact", T.BooleanType()), T.StructField("partial", T.BooleanType())])
 
-    @F.arrow_udf(T.DoubleType())
-    def aliases(texts: pa.Array) -> pa.Array:
-        return pa.array([max((text_score(query_norm, normalized(a), True) for a in (x or "").split("\n")), default=0.0) for x in texts.to_pylist()], pa.float64())
 
-    parts = [
-        score(F.col("name_zh"), query_norm), score(F.col("name_en"), query_norm) * 0.96, aliases(joined),
-        score(F.col("category"), query_norm, False) * 0.6, score(F.col("description"), query_norm, False) * 0.7,
-    ]
-    if len(query_norm.encode()) >= 12:
-        parts.append(score(F.col("official_url"), query_norm, False) * 0.45)
-    return F.least(F.lit(1.0), F.greatest(*parts))
+def with_norms(records: DataFrame) -> DataFrame:
+    """Adds the normalised texts that scores read, once for all terms."""
+    none = F.array().cast("array<string>")
+    return records.withColumns({f"__{f}": normalize(F.col(f)) for f in _FIELDS} | {"__aliases": F.transform(F.coalesce("aliases", none), normalize)})
+
+
+def verdict(query_norm: str) -> Column:
+    """struct<score, exact, partial> of a record of ``with_norms``: the best weighted field (names and
+    aliases 1, English 0.96, description 0.7, category 0.6, URL 0.45), whether a name is the term, and
+    whether a name or the description holds it. Equal texts are scored once in a worker's batch."""
+    url_too = len(query_norm.encode()) >= 12
+
+    @F.arrow_udf(_VERDICT)
+    def judge(zh: pa.Array, en: pa.Array, category: pa.Array, text: pa.Array, url: pa.Array, aliases: pa.Array) -> pa.Array:
+        memo: dict[tuple[str, bool], float] = {}
+
+        def one(t: str | None, edit: bool) -> float:
+            if not t:
+                return 0.0
+            if (t, edit) not in memo:
+                memo[t, edit] = text_score(query_norm, t, edit)
+            return memo[t, edit]
+
+        scores, exact, partial = [], [], []
+        for z, e, c, x, u, al in zip(*(k.to_pylist() for k in (zh, en, category, text, url, aliases))):
+            names = [n for n in (z, e, *(al or [])) if n]
+            best = max([one(z, True), 0.96 * one(e, True), *(one(n, True) for n in al or []), 0.6 * one(c, False), 0.7 * one(x, False), 0.45 * one(u, False) if url_too else 0.0])
+            scores.append(min(1.0, best))
+            exact.append(query_norm in names)
+            partial.append(any(query_norm in n for n in [*names, x or ""]))
+        return pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(exact, pa.bool_()), pa.array(partial, pa.bool_())], names=["score", "exact", "partial"])
+
+    return judge(*[F.col(f"__{f}") for f in _FIELDS], F.col("__aliases"))
 
 
 def recall(records: DataFrame, terms: list[str]) -> DataFrame:
@@ -205,9 +227,9 @@ def search(records: DataFrame, query: str, kind: str | None = None, category: st
     df = records.where(F.col("kind") == kind) if kind else records
     if narrow:
         df = recall(df, [n for _, n, _ in terms])
-    scored = df.withColumns({f"__s{i}": record_score(n) for i, (_, n, _) in enumerate(terms)})
+    scored = with_norms(df).withColumns({f"__v{i}": verdict(n) for i, (_, n, _) in enumerate(terms)})
     content = [i for i, t in enumerate(terms) if not t[2]] or list(range(len(terms)))
-    s = lambda i: F.col(f"__s{i}")
+    s = lambda i: F.col(f"__v{i}")["score"]
     top = F.greatest(*[s(i) for i in content]) if len(content) > 1 else s(content[0])
     hits = sum((s(i) >= HIT).cast("int") for i in content)
     total = top if len(content) == 1 else F.when(hits == 0, top).otherwise(F.greatest(F.lit(HIT), 0.62 * hits / float(len(content)) + 0.38 * top))
@@ -215,13 +237,9 @@ def search(records: DataFrame, query: str, kind: str | None = None, category: st
     if stops and len(content) != len(terms):
         bonus = sum((s(i) >= HIT).cast("int") for i in stops) * (0.02 / len(stops))
         total = F.when(hits > 0, F.least(F.lit(1.0), total + bonus)).otherwise(total)
-    names = F.concat(F.array("name_zh", "name_en"), F.coalesce("aliases", F.array().cast("array<string>")))
-    exact = lambda n: F.exists(names, lambda x: F.coalesce(normalize(x) == n, F.lit(False)))
-    partial = lambda n: F.exists(F.concat(names, F.array("description")), lambda x: F.coalesce(normalize(x).contains(n), F.lit(False)))
-    live = [(s(i) >= HIT, terms[i][1]) for i in content]
-    ex = reduce(lambda a, b: a | b, [c & exact(n) for c, n in live])
-    pa_ = reduce(lambda a, b: a | b, [c & ~exact(n) & partial(n) for c, n in live])
-    fz = reduce(lambda a, b: a | b, [c & ~exact(n) & ~partial(n) for c, n in live])
+    ex = reduce(lambda a, b: a | b, [(s(i) >= HIT) & F.col(f"__v{i}")["exact"] for i in content])
+    pa_ = reduce(lambda a, b: a | b, [(s(i) >= HIT) & ~F.col(f"__v{i}")["exact"] & F.col(f"__v{i}")["partial"] for i in content])
+    fz = reduce(lambda a, b: a | b, [(s(i) >= HIT) & ~F.col(f"__v{i}")["exact"] & ~F.col(f"__v{i}")["partial"] for i in content])
     match = F.when(ex & ~pa_ & ~fz, "exact").when(ex | pa_, "partial").when(fz, "fuzzy").otherwise("none")
     b = F.col("popularity_bucket")
     popular = F.when(b.between(1, 1000), 3).when(b <= 5000, 2).when(b <= 10000, 1).otherwise(0)
@@ -231,13 +249,13 @@ def search(records: DataFrame, query: str, kind: str | None = None, category: st
     }).where(F.col("score") >= HIT)
     if category:
         found = found.where(F.col("category") == category)
-    return found.orderBy(F.desc("score"), F.desc("__p"), F.length("name_zh").asc_nulls_last(), "id", "rec_no").limit(limit).drop("__p", *[f"__s{i}" for i in range(len(terms))])
+    return found.orderBy(F.desc("score"), F.desc("__p"), F.length("name_zh").asc_nulls_last(), "id", "rec_no").limit(limit).select(*records.columns, "score", "match", "matched_terms")
 
 
 def near_misses(records: DataFrame, query: str, top: int = 3) -> DataFrame:
     """(id, name_zh, score) of the closest records below a hit."""
-    best = F.greatest(*[record_score(n) for _, n, _ in query_terms(query)], F.lit(0.0))
-    return records.withColumn("score", best).where((F.col("score") >= CLOSE) & (F.col("score") < HIT)).orderBy(F.desc("score"), "id", "rec_no").limit(top).select("id", "name_zh", "score")
+    best = F.greatest(*[verdict(n)["score"] for _, n, _ in query_terms(query)], F.lit(0.0))
+    return with_norms(records).withColumn("score", best).where((F.col("score") >= CLOSE) & (F.col("score") < HIT)).orderBy(F.desc("score"), "id", "rec_no").limit(top).select("id", "name_zh", "score")
 
 
 def categories_of(hits: DataFrame) -> DataFrame:

@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 
 
 def event_stream(spark: SparkSession, path: str, schema=None, files_per_trigger: int = 8) -> DataFrame:
-    """A stream over a folder of Parquet files; ``ts`` as a timestamp that watermarks take."""
+    """A stream over a folder of Parquet files, or one file; ``ts`` as a timestamp that watermarks take."""
     schema = schema or spark.read.parquet(path).schema
-    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isFile():
+        folder, _, name = path.rpartition("/")
+        path, reader = folder, reader.option("pathGlobFilter", name)
+    df = reader.parquet(path)
     return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
