@@ -198,12 +198,14 @@ def same_reading(terms: DataFrame, records: DataFrame, term_id: str = "term_id",
     match nothing. Rows of a term asked for very often are spread over tasks.
     """
     t = terms.select(F.col(term_id), F.col(norm).alias("__norm")).where("__norm is not null")
-    asked = t.select("__norm").distinct().select("__norm", reading_key("__norm").alias("__key"), plain_key(F.col("__norm")).alias("__plain")).where("__key <> ''")
+    # nondeterministic, else the filter on the key moves below the distinct and every repeat is rewritten
+    once = _column("key").asNondeterministic()
+    asked = t.select("__norm").distinct().select("__norm", once(F.col("__norm")).alias("__key"), plain_key(F.col("__norm")).alias("__plain")).where("__key <> ''")
     parts = [F.array(*[F.col(n) for n in names])] + [F.coalesce(F.col(x), F.array().cast("array<string>")) for x in lists]
     named = (
         records.where(F.col(rec_id).isNotNull()).select(F.col(rec_id).alias("__id"), F.explode(F.concat(*parts)).alias("__name")).where("__name is not null").distinct()
     )
-    forms = named.select("__name").distinct().select("__name", reading_key("__name").alias("__key"), plain_key(F.col("__name")).alias("__plain")).where("__key <> ''")
+    forms = named.select("__name").distinct().select("__name", once(F.col("__name")).alias("__key"), plain_key(F.col("__name")).alias("__plain")).where("__key <> ''")
     named = named.join(forms, "__name").select("__id", "__key", "__plain").distinct()
     pairs = asked.join(named.select("__id", "__key").distinct(), "__key")
     pairs = pairs.join(named.select("__id", "__plain"), ["__id", "__plain"], "left_anti").select("__norm", F.col("__id").alias(rec_id))
