@@ -270,10 +270,16 @@ def fit(bodies: list[str], rounds: int = 6, batch: int = 32, rate: float = 0.006
 
     reader, net, r = Reader(), Network(seed=seed), np.random.default_rng(seed)
     data = []
-    for body in bodies[:SAMPLE_PAGES]:
-        numbers, tags, words = reader.page(body or "")
-        if numbers:
-            marks = labels(body.split("\n"))
+    for at, body in enumerate(bodies[:SAMPLE_PAGES]):
+        views = [(body or "", labels((body or "").split("\n")))]
+        if at % 3 == 0:  # also without its furniture, or the lower half alone, as pages come stripped or cut
+            lines, marks = (body or "").split("\n"), views[0][1]
+            kept = [(x, m) for x, m in zip(lines, marks) if not m] if at % 2 else list(zip(lines, marks))[len(lines) // 2 :]
+            views.append(("\n".join(x for x, _ in kept), [m for _, m in kept]))
+        for text, marks in views:
+            numbers, tags, words = reader.page(text)
+            if not numbers:
+                continue
             data.append(((tags, words), np.array([bool(marks[i - 1]) for i in numbers], dtype=np.float32)))
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0

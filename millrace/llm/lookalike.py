@@ -71,17 +71,19 @@ class Transducer:
                 self.conflicts.append((ch, own, to))
             else:
                 table[ch] = to
-        # outputs must be fixed points: a form that maps on (a wide look-alike) goes to the last form
-        for ch, to in list(table.items()):
-            end = unicodedata.normalize("NFC", "".join(table.get(x, x) for x in to))
-            if any(x in table and table[x] != x for x in end):
-                raise ValueError(f"unstable mapping of U+{ord(ch):04X}")
-            table[ch] = end
         # accented look-alikes: precomposed letters of other scripts on a base that looks Latin
         for code in range(0x0370, 0x0530):
             d = unicodedata.normalize("NFD", chr(code))
             if len(d) > 1 and d[0] in table:
                 table[chr(code)] = unicodedata.normalize("NFC", table[d[0]] + d[1:])
+        # outputs must be fixed points: a form that maps on (a wide look-alike) goes to the last form
+        for _ in range(4):
+            further = {ch: end for ch, to in table.items() if (end := unicodedata.normalize("NFC", "".join(table.get(x, x) for x in to))) != to}
+            table.update(further)
+            if not further:
+                break
+        else:
+            raise ValueError(f"unstable mappings: {sorted(further)[:5]}")
         self.trie: dict = {}
         for key, to in table.items():
             self._add(key, to)

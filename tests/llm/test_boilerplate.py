@@ -57,7 +57,7 @@ def test_gradients():
 
 def test_fit_learns():
     bodies = [PAGE.replace("10", str(i)) for i in range(24)]
-    net = B.fit(bodies, rounds=8)
+    net = B.fit(bodies, rounds=60)
     (numbers, p), = B.furniture([PAGE], net, B.Reader())
     assert [n for n, x in zip(numbers, p) if x >= 0.5] == [1, 2, 3, 9, 15, 16, 18]
 
