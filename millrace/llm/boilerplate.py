@@ -12,6 +12,7 @@ read whole; a page is never split.
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 from collections.abc import Iterator
@@ -36,26 +37,47 @@ _TOKEN = regex.compile(r"\p{Han}+|[\p{Hiragana}\p{Katakana}ー]+|\p{L}[\p{L}\p{M
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _NAME = regex.compile(r"\p{Lu}\p{Ll}+$")
 _TAG_NAMES = 46
+_ORIGIN, _DIGITS, _DIGIT = re.compile(r"^[a-z]+://[^/]*"), re.compile(r"[0-9]+"), re.compile(r"\d")
+_MONEY = regex.compile(r"\p{Sc}|\d ?[A-Z]{3}\b|\b[A-Z]{3} ?\d|元|円")
+
+
+_HASHES: dict[str, int] = {}
+_TOKENS: dict[str, tuple[list[int], bool]] = {}
 
 
 def _word(w: str) -> int:
-    return zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORDS
+    h = _HASHES.get(w)
+    if h is None:
+        h = zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORDS
+        if len(_HASHES) < 400_000:
+            _HASHES[w] = h
+    return h
+
+
+def _token(t: str) -> tuple[list[int], bool]:
+    """Hashed words of one token, and whether it looks like a name."""
+    if t[0] >= "\u2e80" and _CJK.match(t):
+        return [_word(t[j : j + 2]) for j in range(max(1, len(t) - 1))], False
+    if t[0].isdigit():
+        return [_word("0" if len(t) < 4 else "0000")], False
+    if len(t) > 1 or t.isalpha():
+        return [_word(t.lower())], bool(_NAME.match(t))
+    return [_word(t)], False
 
 
 def words_of(text: str) -> list[int]:
     """Hashed words of a block: Latin words (also without case), pairs of Han and kana, runs of digits as one word, marks."""
-    out = []
+    out: list[int] = []
+    name = _word("^name")
     for i, t in enumerate(_TOKEN.findall(text)):
-        if _CJK.match(t):
-            out += [_word(t[j : j + 2]) for j in range(max(1, len(t) - 1))]
-        elif t[0].isdigit():
-            out.append(_word("0" if len(t) < 4 else "0000"))
-        elif len(t) > 1 or t.isalpha():
-            out.append(_word(t.lower()))
-            if i and _NAME.match(t):
-                out.append(_word("^name"))
-        else:
-            out.append(_word(t))
+        got = _TOKENS.get(t)
+        if got is None:
+            got = _token(t)
+            if len(t) < 12 and len(_TOKENS) < 400_000:
+                _TOKENS[t] = got
+        out += got[0]
+        if i and got[1]:
+            out.append(name)
     edge = text.strip()
     return out + [_word("^" + edge[:4].lower()), _word("$" + edge[-4:].lower()), _word("$" + edge[-2:].lower())]
 
@@ -71,23 +93,22 @@ def tags_of(line: str) -> tuple[np.ndarray, list[int]]:
     v[6], v[7] = s.startswith("- "), s.startswith("* ")
     v[8] = s.startswith("|")
     v[9] = s.startswith((">", "`"))
-    links = _LINK.findall(s)
-    bare = _LINK.sub("", s).strip(" -*•|·,/")
+    links = _LINK.findall(s) if "](" in s else []
+    bare = (_LINK.sub("", s) if links else s).strip(" -*•|·,/")
     v[10] = len(links) == 1
     v[11] = len(links) > 1
     v[12] = bool(links) and not bare
     v[13] = bool(links) and bare[:1] in (":", "：")
     if links:
-        path = regex.sub(r"^[a-z]+://[^/]*", "", links[0][1])
-        shape = regex.sub(r"\d+", "0", path)[:6]
+        shape = _DIGITS.sub("0", _ORIGIN.sub("", links[0][1]))[:6]
         v[14 + zlib.crc32(shape.encode("utf-8", "surrogatepass")) % 8] = 1
     n = len(bare) + sum(len(a) for a, _ in links)
     wide = n * (2 if _CJK.search(s) else 1)
     v[22 + min(6, int(np.log2(1 + wide / 6)))] = 1
     v[29] = s[-1:] in ".。!?！？"
     v[30] = s[-1:] in ":：…"
-    v[31] = any(c.isdigit() for c in s)
-    v[32] = bool(regex.search(r"\p{Sc}|\d ?[A-Z]{3}\b|\b[A-Z]{3} ?\d|元|円", s))
+    v[31] = bool(_DIGIT.search(s))
+    v[32] = bool(_MONEY.search(s))
     parts = max(s.count(" | "), s.count(" · "), s.count("｜"), s.count("  "))
     v[33], v[34] = parts == 1, parts > 1
     v[35] = " > " in s or " » " in s or " / " in s
