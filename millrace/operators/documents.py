@@ -113,7 +113,7 @@ def numbered_lines(text: str | None) -> list[tuple[int, int, str]]:
     """(line number, section, raw) of the non-blank lines outside fences."""
     if not text:
         return []
-    bounds = [(a, i) for i, _, _, a, _ in split_sections(text)]
+    bounds = [(0, 1)] if "#" not in text and len(text) <= SECTION_CHARS else [(a, i) for i, _, _, a, _ in split_sections(text)]
     rows = text.split("\n")
     out, at, k = [], 0, 0
     for n, (raw, code) in enumerate(zip(rows, fenced(rows)), 1):

@@ -73,21 +73,29 @@ def query_terms(query: str) -> list[tuple[str, str, bool]]:
 
 # ---------------------------------------------------------------- scores
 
-def _edits(a: str, b: str, most: int) -> int | None:
-    if abs(len(a) - len(b)) > most:
-        return None
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        prev, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-        if min(row) > most:
-            return None
-    return row[-1] if row[-1] <= most else None
+def nearest_stretch(q: str, t: str) -> int:
+    """Least edit distance of ``q`` to any stretch of ``t``, one column of bits for each letter of ``t``."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(q):
+        masks[c] = masks.get(c, 0) | 1 << i
+    n = len(q)
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    plus, minus, now, best = full, 0, n, n
+    for c in t:
+        eq = masks.get(c, 0)
+        x = (((eq & plus) + plus) ^ plus) | eq | minus
+        up, down = minus | ~(x | plus) & full, plus & x
+        now += bool(up & top) - bool(down & top)
+        best = min(best, now)
+        up, down = up << 1 & full, down << 1 & full
+        plus, minus = down | ~(x | up) & full, up & x
+    return best
 
 
 def shortest_window(text: str, wanted: str) -> int | None:
     """Length of the shortest stretch of ``text`` with all letters of ``wanted``, as often."""
+    if not set(wanted) <= set(text):
+        return None
     need, missing, left, best = Counter(wanted), len(wanted), 0, None
     for right, c in enumerate(text):
         if need[c] > 0:
@@ -115,14 +123,8 @@ def text_score(q: str, t: str, edit: bool) -> float:
     best, n = 0.0, len(q)
     budget = 0 if n < 3 else 1 if n <= 6 else 2
     if edit and budget and len(t) <= 80 and n <= 24:
-        nearest = budget + 1
-        for w in range(max(1, n - budget), min(n + budget, len(t)) + 1):
-            for i in range(len(t) - w + 1):
-                d = _edits(q, t[i : i + w], min(budget, nearest))
-                if d:
-                    nearest = min(nearest, d)
-        if nearest <= budget:
-            best = 0.78 * (1 - nearest / n)
+        if len(t) >= max(1, n - budget) and 0 < (d := nearest_stretch(q, t)) <= budget:
+            best = 0.78 * (1 - d / n)
     if n >= 4:
         pairs, there = [q[i : i + 2] for i in range(n - 1)], {t[i : i + 2] for i in range(len(t) - 1)}
         share = sum(p in there for p in pairs) / len(pairs)

@@ -16,17 +16,22 @@ def profile(df: DataFrame) -> DataFrame:
     numbers, a date if at least 80 % are dates, else text; an empty column is text. Only the counts, one
     row, leave the executors.
     """
+    read = []
+    for i, f in enumerate(df.schema.fields):  # each cell is read once, in a projection below the aggregate
+        c = F.col(f"`{f.name}`")
+        filled = ~cells.is_blank(cells.text_of(c, f.dataType))
+        if isinstance(f.dataType, T.StringType):
+            cell = cells.cell(c)
+            read.append(F.when(filled, F.struct(cell.alias("n"), F.when(cell.isNull(), cells.cell_date(c)).alias("d"))).alias(f"c{i}"))
+        else:
+            number, day = cells.cell_num(c, f.dataType), cells.cell_date(c, f.dataType)
+            read.append(F.when(filled, F.struct(F.when(number.isNotNull(), F.struct(number.alias("value"), F.lit(None).cast("string").alias("currency"))).alias("n"), day.alias("d"))).alias(f"c{i}"))
+    cols = df.select(*read)
     counts, plan = [F.count(F.lit(1)).alias("rows")], []
     for i, f in enumerate(df.schema.fields):
-        c = F.col(f"`{f.name}`")
-        text = cells.text_of(c, f.dataType)
-        filled = F.count(F.when(~cells.is_blank(text), 1))
-        nums = F.count(cells.cell_num(c, f.dataType))
-        money = F.count(F.when(~cells.is_blank(text), cells.cell(c)["currency"])) if isinstance(f.dataType, T.StringType) else F.lit(0).cast("bigint")
-        number = cells.cell_num(c, f.dataType)
-        days = F.count(F.when(number.isNull(), cells.cell_date(c, f.dataType)))
-        counts += [filled.alias(f"f{i}"), nums.alias(f"n{i}"), money.alias(f"m{i}"), days.alias(f"d{i}")]
+        c = F.col(f"c{i}")
+        counts += [F.count(c).alias(f"f{i}"), F.count(c["n"]).alias(f"n{i}"), F.count(c["n"]["currency"]).alias(f"m{i}"), F.count(c["d"]).alias(f"d{i}")]
         f_, n_, m_, d_ = (F.col(f"{k}{i}") for k in "fnmd")
         kind = F.when(f_ == 0, "text").when(n_ * 5 >= f_ * 4, F.when(m_ > 0, "currency").otherwise("number")).when(d_ * 5 >= f_ * 4, "date").otherwise("text")
         plan.append(F.struct(F.lit(i).alias("ordinal"), F.lit(f.name).alias("column"), kind.alias("type"), f_.alias("filled"), n_.alias("numbers"), d_.alias("dates"), F.col("rows").alias("row_count")))
-    return df.agg(*counts).select(F.inline(F.array(*plan)))
+    return cols.agg(*counts).select(F.inline(F.array(*plan)))

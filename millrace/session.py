@@ -23,6 +23,7 @@ def build(app: str = "millrace", master: str | None = None, **conf) -> SparkSess
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # else every Column call looks up where it was made
     }
     for k, v in (base | {k.replace("__", "."): v for k, v in conf.items()}).items():
         b = b.config(k, v)

@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.errors import EngineError
@@ -27,6 +29,21 @@ def test_score():
     assert K.normalized("Ａb 台-份!") == "ab臺分"
 
 
+def _edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        prev, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+    return row[-1]
+
+
+@given(st.text("abc", min_size=1, max_size=7), st.text("abcd", max_size=9))
+def test_nearest_stretch(q, t):
+    every = [t[i:j] for i in range(len(t) + 1) for j in range(i, len(t) + 1)]
+    assert K.nearest_stretch(q, t) == min(_edit_distance(q, x) for x in every)
+
+
 def test_search(kb):
     got = K.search(kb, "台北市立圖書館").collect()
     assert [(r.id, r.score, r.match) for r in got][:2] == [("a", 1.0, "exact"), ("b", 0.963, "partial")]
