@@ -8,6 +8,7 @@ from ..functions import text as tx
 from ..functions.urls import host, normalize_url, registrable
 from ..operators import documents, extraction, knowledge, reports, webhits
 from ..sources import html as page_html
+from ..sources import imports
 from ..sources import tables as table_source
 from .tables import dated_orders, t
 
@@ -229,3 +230,34 @@ def script_predicates(s, d):
 def kb_normalize(s, d):
     k = t(s, d, "kb_records").where(F.col("name_en").rlike("^[ -~]*$")).select(F.col("name_en").alias("name")).distinct()
     return k.select("name", knowledge.normalize(F.col("name")).alias("norm"))
+
+
+@query("select 'c' || n_nationkey as code, n_name as title, 'About ' || n_name as description, 2 as links from nation where n_nationkey % 5 <> 0")
+def service_import(s, d):
+    k = F.col("n_nationkey").cast("string")
+    one = F.concat(F.lit('{"code":"c'), k, F.lit('","name":"-","title":"'), F.col("n_name"), F.lit('","text":" About  '), F.col("n_name"), F.lit('","page":"https://a.test/'), k, F.lit('","form":"'), F.when(F.col("n_nationkey") % 5 == 0, "").otherwise("https://a.test/f"),
+                   F.lit('","mail":"https://a.test/f"}'))
+    rows = t(s, d, "nation").select(F.concat(F.lit("["), F.when(F.col("n_nationkey") % 5 == 0, F.lit('{"title":"no code","page":"https://a.test"}')).otherwise(one), F.lit("]")).alias("raw"))
+    made = imports.services(rows, {"code": ["code"], "title": ["name", "title"], "description": ["none", "text"]}, [("page", "Page", ["page"]), ("form", "Form", ["form"]), ("email", "Mail", ["mail"])])
+    return made.select("code", "title", "description", F.size("service_urls").alias("links"))
+
+
+@query("select n_nationkey, n_name as title, 'https://site.test/' || n_nationkey as url, 'text' as snippet from nation")
+def result_page_hits(s, d):
+    k = F.col("n_nationkey").cast("string")
+    page = F.concat(F.lit("<div class='hit ad'><h2><a href='https://ad.test'>ad</a></h2></div><div class='hit'><h2><a href='//r.test/l?u=https%3A%2F%2Fsite.test%2F"), k, F.lit("'>"), F.col("n_name"), F.lit("</a></h2><p class='note-2'>text</p></div><div class='hit'>none</div>"))
+    hits = imports.result_hits(page, block="hit", link="h2", note="note", skip="ad")
+    return t(s, d, "nation").select("n_nationkey", F.inline(hits))
+
+
+@query("select row_number() over (order by min(doc_id))::int as number, 'https://' || site || '/' as url, site as title, count(*) as notes from documents where trim(site) <> '' group by site")
+def source_numbers(s, d):
+    notes = t(s, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("https://"), F.col("site"), F.lit("/")).alias("source")).where("source is not null")
+    docs = t(s, d, "fetched_docs").select("doc_id", F.concat(F.lit("https://none.test/"), F.col("doc_id").cast("string")).alias("url"), "title")
+    return imports.numbered_sources(notes, docs)
+
+
+@query("select event_id, strftime(ts + interval 8 hour, '%Y-%m-%dT%H:%M:%S') as iso, dayname(ts + interval 8 hour) as weekday from events")
+def clock_in_zone(s, d):
+    c = imports.clock("Asia/Taipei", F.col("ts").cast("timestamp"))
+    return t(s, d, "events").select("event_id", c[0], c[2])
