@@ -83,58 +83,72 @@ def sentences(text: str) -> list[str]:
 
 
 class TextModel:
-    """Log-likelihoods of tokens in each language."""
+    """Log-likelihoods of tokens in each language. A word, or a pair of Han or kana, is a row of a table that
+    grows as they are met; a document is one gather of rows and one sum by sentence."""
 
     def __init__(self, weights: np.ndarray, agreement: float):
         self.weights, self.agreement = weights, agreement
-        self.memo: dict[str, np.ndarray] = {}
-
-    def token(self, token: str) -> np.ndarray:
-        v = self.memo.get(token)
-        if v is None:
-            v = self.weights[features(token)].sum(axis=0) * TEMPER
-            if len(self.memo) >= 300_000:
-                self.memo.clear()
-            if len(token) < 24:
-                self.memo[token] = v
-        return v
-
-    def sentence(self, s: str) -> np.ndarray | None:
-        """None without words: lone letters, units, and rows of figures of a pipe table say nothing."""
-        if _ROW.match(s):
+        self.index: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(LANGS)))
+
+    def _add(self, key: str, buckets: list[int]) -> int:
+        at = len(self.index)
+        if at == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[at] = self.weights[buckets].sum(axis=0) * TEMPER
+        self.index[key] = at
+        return at
+
+    def sentence(self, s: str) -> list[int] | None:
+        """Rows of a sentence. None without words: lone letters, units, and rows of figures of a pipe table say nothing."""
+        if s.lstrip().startswith("|") and _ROW.match(s):
             return None
         tokens = _TOKEN.findall(s)
         if not any(len(t) > 2 or (len(t) > 1 and _HAN.match(t)) for t in tokens):
             return None
-        total = np.zeros(len(LANGS))
+        out, get = [], self.index.get
         for t in tokens:
-            if len(t) >= 24 and _HAN.match(t):  # runs of Han and kana hardly repeat: by parts of eight
-                for i in range(0, len(t), 8):
-                    total += self.token(t[i : i + 9])
+            if _HAN.match(t):
+                for i in range(len(t)):
+                    key = t[i : i + 2]
+                    r = get(key)
+                    out.append(r if r is not None else self._add(key, [_bucket(key[0]), _bucket(key)] if len(key) > 1 else [_bucket(key)]))
             else:
-                total += self.token(t)
-        return total
+                r = get(t)
+                out.append(r if r is not None else self._add(t, features(t)))
+        return out
 
     def segments(self, text: str, log_prior: np.ndarray) -> list[tuple[str, float, int, int, bool]]:
         """(lang, confidence, start, end, has words) for each longest run of sentences in one language."""
+        if len(self.index) > 400_000:
+            self.index.clear()
         parts = sentences(text)
-        scores = [self.sentence(p) for p in parts]
-        worded = [i for i, s in enumerate(scores) if s is not None]
+        found = [self.sentence(p) for p in parts]
+        worded = [i for i, r in enumerate(found) if r is not None]
         if not worded:
             return []
-        lattice = np.array([scores[i] for i in worded])
+        flat: list[int] = []
+        starts = []
+        for i in worded:
+            starts.append(len(flat))
+            flat += found[i]
+        lattice = np.add.reduceat(self.rows[flat], starts, axis=0)
         n, k = lattice.shape
-        best, back = log_prior + lattice[0], np.zeros((n, k), dtype=int)
-        for i in range(1, n):
-            j = int(best.argmax())
-            change = best[j] - CHANGE_COST + log_prior
-            stay = best
-            back[i] = np.where(stay >= change, np.arange(k), j)
-            best = np.maximum(stay, change) + lattice[i]
-        path = [int(best.argmax())]
-        for i in range(n - 1, 0, -1):
-            path.append(int(back[i][path[-1]]))
-        path.reverse()
+        best = lattice.argmax(axis=1)
+        first = int(best[0])
+        if (best == first).all() and int((lattice.sum(axis=0) + log_prior).argmax()) == first:
+            path = [first] * n  # no path with a change can be better
+        else:
+            best, back = log_prior + lattice[0], np.zeros((n, k), dtype=int)
+            for i in range(1, n):
+                j = int(best.argmax())
+                change = best[j] - CHANGE_COST + log_prior
+                back[i] = np.where(best >= change, np.arange(k), j)
+                best = np.maximum(best, change) + lattice[i]
+            path = [int(best.argmax())]
+            for i in range(n - 1, 0, -1):
+                path.append(int(back[i][path[-1]]))
+            path.reverse()
         out, bounds = [], []
         offset = [0]
         for p in parts:
@@ -154,25 +168,31 @@ class TextModel:
 
 def fit(labelled: list[tuple[str, str | None]], rounds: int = 4) -> TextModel:
     """The model of (text, declared language) pairs. Sentences start with the label of their text and
-    then take the language that the model of the round before gives them, each text as a whole first,
-    so that mixed and wrongly labelled texts end in the right classes."""
-    units, owner, declared = [], [], []
-    for d, (text, lang) in enumerate(labelled):
+    then take the language that the model of the round before gives them, so that mixed and wrongly
+    labelled texts end in the right classes."""
+    grams_of: dict[str, list[int]] = {}
+    flat: list[int] = []
+    starts, declared = [], []
+    for text, lang in labelled:
         for s in sentences(text or ""):
-            grams = [g for t in _TOKEN.findall(s) for g in features(t)]
-            if grams:
-                units.append(np.array(grams))
-                owner.append(d)
+            begin = len(flat)
+            for t in _TOKEN.findall(s):
+                got = grams_of.get(t)
+                if got is None:
+                    got = grams_of[t] = features(t)
+                flat += got
+            if len(flat) > begin:
+                starts.append(begin)
                 declared.append(LANGS.index(lang) if lang in LANGS else -1)
-    k = len(LANGS)
-    now = np.array(declared, dtype=int)
+    k, n = len(LANGS), len(starts)
+    grams, edges = np.array(flat, dtype=np.int32), np.array([*starts, len(flat)])
+    sizes = np.diff(edges)
+    known = np.array(declared, dtype=int)
+    now = known.copy()
     weights = np.zeros((BUCKETS, k), dtype=np.float32)
     for _ in range(rounds):
-        counts = np.zeros((k, BUCKETS), dtype=np.float64)
-        for lang in range(k):
-            rows = [units[i] for i in np.flatnonzero(now == lang)]
-            if rows:
-                counts[lang] = np.bincount(np.concatenate(rows), minlength=BUCKETS)
+        owner = np.repeat(now, sizes)
+        counts = np.array([np.bincount(grams[owner == lang], minlength=BUCKETS) for lang in range(k)], dtype=np.float64)
         total = counts.sum(axis=1, keepdims=True)
         seen = counts.sum(axis=0) > 0
         p = (counts + 0.02) / (total + 0.02 * max(1, seen.sum()))
@@ -180,10 +200,11 @@ def fit(labelled: list[tuple[str, str | None]], rounds: int = 4) -> TextModel:
         # unseen n-grams say nothing; classes without any example are never chosen
         weights[~seen] = 0
         weights[:, total[:, 0] == 0] = -20
-        now = np.array([int(weights[u].sum(axis=0).argmax()) for u in units], dtype=int)
-    d = np.array(declared, dtype=int)
-    known = d >= 0
-    agreement = float(np.clip((now[known] == d[known]).mean() if known.any() else 0.5, 0.5, 0.99))
+        for at in range(0, n, 1024):  # sentences in blocks, so that memory stays small
+            lo, hi = edges[at], edges[min(n, at + 1024)]
+            now[at : at + 1024] = np.add.reduceat(weights[grams[lo:hi]], edges[at : min(n, at + 1024)] - lo, axis=0).argmax(axis=1)
+    told = known >= 0
+    agreement = float(np.clip((now[told] == known[told]).mean() if told.any() else 0.5, 0.5, 0.99))
     return TextModel(weights, agreement)
 
 
