@@ -15,7 +15,7 @@ from .documents import per_document
 
 #: What an error and a warning cost, of 100; other headings of the sources section.
 ERROR, WARNING = 12, 4
-SOURCE_HEADINGS = ("sources", "references", "bibliography", "works cited", "citations", "參考資料", "資料來源", "來源", "参考文献", "quellen")
+SOURCE_HEADINGS = ("sources", "source", "references", "reference", "bibliography", "citations", "links", "參考資料", "資料來源", "來源", "參考來源", "参考资料")
 _CJK = r"぀-ヿ㐀-䶿一-鿿豈-﫿가-힯"
 _WORD = re.compile(rf"[{_CJK}]|(?:(?![{_CJK}_])\w)(?:['’.,-]*(?:(?![{_CJK}_])\w))*")
 _URL = re.compile(r"https?://[^\s)>\"<\]|]*")
