@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Suffixes under which names are registered; callers may give their own.
+#: An own short list of suffixes under which names are registered; callers give a full one.
 SUFFIXES = [
     "com.tw", "org.tw", "gov.tw", "edu.tw", "net.tw", "idv.tw", "co.jp", "or.jp", "ne.jp", "go.jp", "ac.jp", "co.uk", "org.uk", "gov.uk", "ac.uk", "com.cn", "gov.cn", "org.cn",
     "com.hk", "gov.hk", "com.au", "gov.au", "co.kr", "or.kr", "com.sg", "com.br", "co.nz", "com.mx", "co.in", "github.io", "blogspot.com", "appspot.com", "herokuapp.com",

@@ -289,7 +289,7 @@ def replace_source(base: DataFrame, new: DataFrame, source: str) -> DataFrame:
     return base.where(~F.col("source").eqNullSafe(source)).unionByName(new)
 
 
-#: Labels of hosts that serve machines, and endings of addresses that are left out.
+#: Own short lists, to be replaced by the caller's: labels of hosts that serve machines, endings that are left out.
 BACKEND = ["api", "cdn", "static", "assets", "img", "images", "media", "mail", "smtp", "ns1", "ns2", "gateway", "edge", "cache", "tracking", "analytics"]
 LEFT_OUT_ENDINGS = ["xxx", "porn", "adult", "sex"]
 

@@ -13,10 +13,23 @@ def symbols(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.upper(text), r"[,;\s]+"), lambda x: x != ""))
 
 
+#: Names of indices and endings of exchanges in the other notation.
+INDICES = {"gspc": "spx", "ixic": "ndq", "n225": "nkx", "ftse": "ukx", "gdaxi": "dax"}
+EXCHANGES = {"t": "jp", "l": "uk", "de": "de", "f": "de", "us": "us"}
+
+
 def exchange_symbol(symbol: Column) -> Column:
-    """The form with exchange suffix in lower case; plain symbols are of the US."""
+    """The symbol in the notation with lower-case exchange endings; null for Taiwan, which has none there.
+    Indices and endings are mapped, leading zeros of Hong Kong codes dropped, currency pairs joined; a
+    one-letter ending is a share class of a US listing, and no ending is the US."""
     s = F.lower(F.trim(symbol))
-    return F.when(s.rlike(r"^\^|=|-usd$"), s).when(s.rlike(r"\.(tw|two)$"), F.regexp_replace(s, r"\.two$", ".tw")).when(s.contains("."), s).otherwise(F.concat(s, F.lit(".us")))
+    lookup = lambda d, k: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), k), k)
+    pair = r"^([^.-]{1,5})-(usd|eur|usdt)$"
+    code, end = F.regexp_extract(s, r"^(.*)\.([^.]*)$", 1), F.regexp_extract(s, r"^(.*)\.([^.]*)$", 2)
+    return (
+        F.when(s.rlike(r"\.(tw|two)$"), None).when(s.startswith("^"), F.concat(F.lit("^"), lookup(INDICES, F.substring(s, 2, 99)))).when(s.endswith("=x"), F.regexp_replace(s, "=x$", ""))
+        .when(s.rlike(pair), F.regexp_replace(s, "-", "")).when(end == "", F.concat(s, F.lit(".us"))).when(end == "hk", F.concat(F.regexp_replace(code, "^0+", ""), F.lit(".hk")))
+        .when(end.isin(list(EXCHANGES)), F.concat(code, F.lit("."), lookup(EXCHANGES, end))).when(F.length(end) == 1, F.concat(s, F.lit(".us"))).otherwise(s))
 
 
 def change(price: Column, before: Column) -> Column:
@@ -69,18 +82,18 @@ def last_n(df: DataFrame, n: int, key: str, date: str) -> DataFrame:
 
 
 def range_start(today: Column, name: str) -> Column:
-    """The first day of a named range: 5d, 1mo, 3mo, 6mo, 1y, 2y, 5y, 10y, ytd."""
+    """The first day of a named range: 5d (seven days), 1mo, 3mo, 6mo, 1y, 5y, ytd; 1970-01-01 for others."""
     if name == "5d":
         return F.date_sub(today, 7)
     if name == "ytd":
         return F.trunc(today, "year")
-    n = int(name.rstrip("moy"))
-    return F.add_months(today, -n * (12 if name.endswith("y") else 1))
+    months = {"1mo": 1, "3mo": 3, "6mo": 6, "1y": 12, "5y": 60}.get(name)
+    return F.add_months(today, -months) if months else F.lit("1970-01-01").cast("date")
 
 
 def default_interval(name: str) -> str:
     """The interval that a named range is shown in."""
-    return {"1d": "5m", "5d": "1d", "2y": "1wk", "5y": "1mo", "10y": "1mo", "max": "1mo"}.get(name, "1d")
+    return {"max": "1mo", "5y": "1wk"}.get(name, "1d")
 
 
 def named(aliases: DataFrame, query: str) -> DataFrame:

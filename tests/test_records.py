@@ -72,6 +72,10 @@ def test_series(spark):
     bars = spark.createDataFrame([("x", 0, 1.0), ("x", 3600, 2.0), ("x", 90_000, 3.0), ("x", 90_100, None)], "symbol string, ts long, close double")
     assert [(r.date, r.close) for r in series.bars(bars, "symbol", "ts").orderBy("date").collect()] == [("1970-01-01", 2.0), ("1970-01-02", 3.0)]
     assert spark.range(1).select(series.exchange_symbol(F.lit("AAPL")), series.range_start(F.lit("2024-03-31").cast("date"), "1mo").cast("string")).first()[:] == ("aapl.us", "2024-02-29")
+    want = {"2330.TW": None, "^GSPC": "^spx", "^HSI": "^hsi", "EURUSD=X": "eurusd", "BTC-USD": "btcusd", "0700.HK": "700.hk", "7203.T": "7203.jp", "VOD.L": "vod.uk", "SAP.F": "sap.de", "BRK.B": "brk.b.us", "X.PA": "x.pa"}
+    got = spark.createDataFrame([(k,) for k in want], "s string").select("s", series.exchange_symbol(F.col("s")).alias("e")).collect()
+    assert {r.s: r.e for r in got} == want
+    assert [series.default_interval(x) for x in ("max", "5y", "1mo")] == ["1mo", "1wk", "1d"]
 
 
 def test_markets(spark):
