@@ -5,11 +5,12 @@ stem (Han). Reading is tolerant: kinds are found by longest-common-subsequence r
 shortened forms, persons through nicknames and initials, any order of the parts, with or without
 brackets. A form is the parts together with the organisation's own web domain.
 
-Candidates come from suffix blocking: every suffix, from a minimum length, of every token of a form is
-indexed under kind and number. A suffix that stays common is refined with the first letter of the
-other token, then with the other token itself; only refined blocks are compared. Pairs are decided by
-the ratio of the longest common subsequence of place, brand and stem; another kind, number, person or
-own domain parts them. Linked forms and the forms of one id are joined into classes.
+Candidates come from blocks under kind and number: the suffix of brand and place, subsequences that near
+brands, places and stems must share, and the own domain. A block of names that is common is refined with
+the subsequences of the other token, so every pair that the decision accepts shares a block whatever the
+size of the table. Pairs are decided by the ratio of the longest common subsequence of place, brand and
+stem; another kind, number, person or own domain parts them. Linked forms and the forms of one id are
+joined into classes.
 
 Nulls, blanks and placeholders are no names; names without a known kind link nothing. Repeated rows
 and copies are one form. Ids that are null are left out.
@@ -20,6 +21,8 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
+from math import comb
 
 import pyarrow as pa
 import regex
@@ -71,10 +74,14 @@ SIMPLIFIED = dict(zip(
     "务乐处会龙见宁车伦风门维诺罗马萨亚兰凯电劳税气来费协图书馆邮网诊货储银监节综医设计师运输国际机场学饼贸铁业产华东广农厂开关长张陈杨黄赵刘钱孙宝贝财资经纪实验发园艺术馆兴飞云鸟鱼",
     "務樂處會龍見寧車倫風門維諾羅馬薩亞蘭凱電勞稅氣來費協圖書館郵網診貨儲銀監節綜醫設計師運輸國際機場學餅貿鐵業產華東廣農廠開關長張陳楊黃趙劉錢孫寶貝財資經紀實驗發園藝術館興飛雲鳥魚",
 ))
-#: Shortest suffix of a Latin token or a domain, and of a Han token.
-MIN_LATIN, MIN_HAN = 4, 2
-#: A suffix (with kind and number) shared by more forms than this is refined before its pairs are compared.
+#: Suffix of a Latin token that is indexed.
+MIN_LATIN = 4
+#: A block of names shared by more forms than this is refined before its pairs are compared.
 COMMON = 60
+#: Least ratios that ``alike`` asks of brand, place and the stem beside a brand; if brand and place both differ, one of them reaches NEARER.
+NEAR_BRAND, NEAR_PLACE, NEAR_STEM, NEARER = 0.75, 0.72, 0.6, 0.859
+#: Two lengths with more subsequences than this make one block, which is compared whole.
+MOST_KEYS = 220
 #: A letter with at least this share of all letters of Han stems counts as one that names are made of.
 USUAL_LETTER = 0.002
 _EXACT = {f.replace(".", ""): kind for kind, (fs, _) in KINDS.items() for f in fs}
@@ -271,49 +278,99 @@ def usual_letters(own: DataFrame) -> set[str]:
     return {r.c for r in each.crossJoin(F.broadcast(total)).where(F.col("n") >= F.col("t") * USUAL_LETTER).select("c").collect()}  # total: one row
 
 
-def _keys(token, other, least):
-    """Suffixes of ``token`` from the length ``least``, each with the other field for refining."""
-    n = F.length(token)
-    return F.when(n > 0, F.transform(
-        F.sequence(F.least(F.lit(least), n), n),
-        lambda k: F.struct(F.right(token, k).alias("suffix"), F.substring(other, 1, 1).alias("first"), other.alias("other")),
-    )).otherwise(F.array().cast("array<struct<suffix:string,first:string,other:string>>"))
+@lru_cache(maxsize=100_000)
+def near_keys(token: str, share: float) -> list[str]:
+    """Keys of which two tokens have one in common if their ratio is at least ``share``: for each length
+    the other one may have, the subsequences as long as the common one must be."""
+    n, out = len(token), []
+    for k in range(1, int(n * (2 - share) / share) + 2):
+        m = next((x for x in range(1, min(n, k) + 1) if 2 * x / (n + k) >= share), None)
+        if m is None:
+            continue
+        pair = f"{min(n, k)},{max(n, k)}"
+        if comb(max(n, k), m) > MOST_KEYS:
+            out.append(pair)
+        else:
+            out += sorted({f"{pair}:{''.join(x)}" for x in combinations(token, m)})
+    return out
+
+
+def _told_place(place: str) -> bool:
+    """More than an initial."""
+    return bool(place) and not place.endswith(".")
+
+
+def block_keys(form: dict) -> list[tuple[str, str]]:
+    """(role, key) of the blocks of a form: b, p, s for brand, place and the stem beside a brand, which may
+    be refined; x and d for stems and domains, which are compared as they are."""
+    brand, place, stem, out = form["brand"], form["place"], form["stem"], []
+    if brand:
+        out.append(("b", brand[-MIN_LATIN:]))
+    if _told_place(place):
+        out.append(("p", place[-MIN_LATIN:]))
+        if brand:
+            # brand and place both differ; equal ones share a suffix
+            out += [("b", k) for k in near_keys(brand, NEARER) if not k.endswith(":" + brand) or not k.startswith(f"{len(brand)},{len(brand)}:")]
+            out += [("p", k) for k in near_keys(place, NEARER) if not k.endswith(":" + place) or not k.startswith(f"{len(place)},{len(place)}:")]
+    if stem and brand:
+        out += [("s", k) for k in near_keys(stem, NEAR_STEM)]
+    elif stem:  # one letter more, less or other
+        out += [("x", k) for k in {stem, *(stem[:i] + stem[i + 1 :] for i in range(len(stem)) if len(stem) > 2)}]
+    if form["dom"]:
+        out.append(("d", form["dom"]))
+    return out
+
+
+def refined_keys(role: str, form: dict) -> list[tuple[str, int]]:
+    """(key, side) that refine a common block of a role by the other token. Forms of side 1 are compared only
+    with those of side 0: whole places with initials of a place, which need the same brand."""
+    brand, place, stem = form["brand"], form["place"], form["stem"]
+    if role != "b":
+        return [(k, 0) for k in near_keys(brand, NEAR_BRAND)]
+    out = [("s" + k, 0) for k in near_keys(stem, NEAR_STEM)]
+    if place:
+        out.append((f"i{place[0]} {brand}", int(_told_place(place))))
+    if _told_place(place):
+        out += [("p" + k, 0) for k in near_keys(place, NEAR_PLACE)]
+    return out
+
+
+def _each(df: DataFrame, make) -> DataFrame:
+    """(fid, role, key, side): ``make(role, form)`` of each row (fid, role, parts..., dom)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(r["fid"], *k) for r in batch.to_pylist() for k in make(r["role"], r)]
+            yield pa.RecordBatch.from_pydict({"fid": pa.array([r[0] for r in rows], pa.int64()), "role": pa.array([r[1] for r in rows], pa.string()), "key": pa.array([r[2] for r in rows], pa.string()), "side": pa.array([r[3] for r in rows], pa.int32())})
+
+    return df.mapInArrow(run, "fid bigint, role string, key string, side int")
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
     """Pairs of forms (a_..., b_...) that share a block; the blocks are described in the module text."""
     c = F.col
-    han2, han3 = F.substring(c("stem"), 1, 2), F.substring(c("stem"), 3, 9)
-    keyed = nodes.select("*", F.explode(F.array_distinct(F.concat(
-        _keys(c("brand"), F.concat(c("place"), F.substring(c("stem"), 1, 2)), MIN_LATIN),
-        _keys(F.when(F.length("place") > 2, c("place")).otherwise(F.lit("")), c("brand"), MIN_LATIN),
-        _keys(c("dom"), F.concat(c("brand"), c("stem")), 99),
-        _keys(han2, han3, MIN_HAN), _keys(han3, han2, MIN_HAN),
-    ))).alias("k")).select("*", "k.*").drop("k")
-    # a block: kind, number and suffix, as far as it is common also the first letter, then all, of the other token
-    plain, refined, whole = (stable_hash("kind", "number", "suffix", *x, seed=s) for s, x in ((1, []), (2, ["first"]), (3, ["other"])))
-    keyed = keyed.withColumns({"k1": plain, "k2": refined, "k3": whole}).drop("suffix", "first", "other")
-
-    def common(df: DataFrame, key: str) -> DataFrame:
-        return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON).select(key, F.lit(True).alias("c_" + key))
-
-    keyed = keyed.join(common(keyed, "k1"), "k1", "left")
-    keyed = keyed.join(common(keyed.where("c_k1"), "k2"), "k2", "left")
-    block = F.when(c("c_k1").isNull(), c("k1")).when(c("c_k2").isNull(), c("k2")).otherwise(c("k3"))
-    keyed = cut(keyed.select(block.alias("block"), "fid", *_PARTS, "dom").distinct())
-    a = keyed.select("block", *[c(x).alias("a_" + x) for x in ["fid", *_PARTS, "dom"]])
-    b = keyed.select("block", *[c(x).alias("b_" + x) for x in ["fid", *_PARTS, "dom"]])
+    first = _each(nodes.withColumn("role", F.lit("")), lambda _, f: [(role, f"{f['kind']} {f['number']} {k}", 0) for role, k in block_keys(f)])
+    keyed = cut(first.select("fid", "role", stable_hash("role", "key", seed=1).alias("block"), "side").distinct())
+    sizes = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    keyed = keyed.join(sizes, "block")
+    hot = keyed.where((c("n") > COMMON) & c("role").isin("b", "p", "s")).drop("side")
+    more = _each(hot.join(nodes, "fid").withColumn("role", F.concat("role", c("block").cast("string"))), lambda at, f: [(at, k, side) for k, side in refined_keys(at[0], f)])
+    refined = more.select("fid", stable_hash("role", "key", seed=2).alias("block"), "side").distinct()
+    kept = keyed.where((c("n") <= COMMON) | ~c("role").isin("b", "p", "s")).select("fid", "block", "side")
+    keyed = cut(kept.union(refined).join(nodes, "fid").select("block", "side", "fid", *_PARTS, "dom"))
+    a = keyed.where("side = 0").select("block", *[c(x).alias("a_" + x) for x in ["fid", *_PARTS, "dom"]])
+    b = keyed.select("block", "side", *[c(x).alias("b_" + x) for x in ["fid", *_PARTS, "dom"]])
     # cheap tests that every linked pair passes: the edit distance is at most the share of letters that
     # the ratio of the longest common subsequence may leave out
     backed = "a_dom <> '' and a_dom = b_dom"
     near = lambda x, loose, strict: (
         f"(a_{x} = '' or b_{x} = '' or levenshtein(a_{x}, b_{x}) <= (length(a_{x}) + length(b_{x})) * if({backed}, {loose}, {strict}))")
     tests = [
-        "a_fid < b_fid and a_kind = b_kind and a_number = b_number", "(a_dom = '' or b_dom = '' or a_dom = b_dom)",
+        "(a_fid < b_fid or side = 1) and a_kind = b_kind and a_number = b_number", "(a_dom = '' or b_dom = '' or a_dom = b_dom)",
         "(a_person = '' or b_person = '' or left(a_person, 1) = left(b_person, 1))", near("brand", 0.5, 0.25), f"(a_place like '%.' or b_place like '%.' or {near('place', 0.7, 0.28)})",
         f"(a_brand <> '' or b_brand <> '' or a_stem = '' or b_stem = '' or {backed} or levenshtein(a_stem, b_stem) <= 2)",
     ]
-    return a.join(b, "block").where(" and ".join(tests)).drop("block")
+    return a.join(b, "block").where(" and ".join(tests)).drop("block", "side")
 
 
 def same_person(a: str, b: str) -> bool:

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 from hypothesis import given
 from hypothesis import strategies as st
@@ -61,3 +62,34 @@ def test_membership(spark):
     df = spark.createDataFrame([r for r in ROWS], "id string, name_zh string, name_en string, aliases array<string>, official_url string")
     got = {r.id: r.class_size for r in N.membership(df).collect()}
     assert got["a"] == 3 and got["d"] == 1 and "i" not in got
+
+
+def _accepted(forms):
+    return {(x, y) for x, y in itertools.combinations(range(len(forms)), 2)
+            if (forms[x]["kind"], forms[x]["number"]) == (forms[y]["kind"], forms[y]["number"]) and N.alike(forms[x], forms[y], set())}
+
+
+def _candidates(spark, forms):
+    df = spark.createDataFrame([(i, *(f[p] for p in N._PARTS), f["dom"]) for i, f in enumerate(forms)], "fid long, " + ", ".join(f"{p} string" for p in (*N._PARTS, "dom")))
+    return {(min(r.a_fid, r.b_fid), max(r.a_fid, r.b_fid)) for r in N.candidates(df).select("a_fid", "b_fid").collect()}
+
+
+def _form(**parts):
+    return dict.fromkeys((*N._PARTS, "dom"), "") | {"kind": "food"} | parts
+
+
+def test_common_blocks_lose_no_pair(spark):
+    """A common place, brand, domain, stem part and brand beside stems, against comparing all pairs."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("ktnmpr" if i % 2 == 0 else "aio") for i in range(n))
+    han = lambda n: "".join(rng.choice("山木瑞馬大維") for _ in range(n))
+    forms = [_form(place="kopo", brand="titoti"), _form(place="kopo", brand="titota"), _form(place="kopo", brand="nitoti"), _form(place="kopo", brand="itoti"), _form(place="kopo", brand="tamatimopira"), _form(place="kopo", brand="tamatinopiro")]
+    forms += [_form(place="kopo", brand=word(rng.choice([5, 6, 6, 7, 8]))) for _ in range(120)]
+    forms += [_form(place=word(rng.choice([2, 3, 4, 4, 5, 8])), brand=rng.choice(["marapi", "marapo"])) for _ in range(120)] + [_form(place=x + ".", brand="marapi") for x in "ktn"]
+    forms += [_form(place=word(8), brand=word(8)) for _ in range(60)] + [_form(place="katamano", brand="pirokana"), _form(place="katamani", brand="pirokani")]
+    forms += [_form(stem="山木" + han(3)) for _ in range(90)] + [_form(stem=han(rng.choice([1, 2, 4, 12]))) for _ in range(60)] + [_form(stem="大維瑞馬山木大維瑞馬山木"), _form(stem="大瑞馬山木大維瑞馬山木")]
+    forms += [_form(brand="titoti", stem=han(2)) for _ in range(80)] + [_form(brand=word(6), stem="瑞馬") for _ in range(80)]
+    forms += [_form(dom="kopo", brand=word(6), place=word(4)) for _ in range(80)] + [_form(dom="kopo", stem=han(4)) for _ in range(20)]
+    forms = [dict(x) for x in {tuple(sorted(f.items())) for f in forms}]
+    want = _accepted(forms)
+    assert len(want) > 1000 and not want - _candidates(spark, forms)
