@@ -158,6 +158,19 @@ def extract_tables(s, d):
     return extraction.extract(docs, "tables").select(_doc(), "title", "row_count", F.col("rows")[0][0].alias("cell"))
 
 
+def _of_pages(kind):
+    """All facts of a kind in all stored pages; SQL cannot follow."""
+    def facts(s, d):
+        return extraction.extract(t(s, d, "fetched_docs"), kind)
+
+    facts.__name__ = f"pages_{kind}"
+    return facts
+
+
+for _kind in ("prices", "dates", "people", "numbers", "emails", "tables"):
+    query()(_of_pages(_kind))
+
+
 @query("select n_nationkey, '# ' || n_name || chr(10) || chr(10) || 'Go [here](https://site.example/d/p%20' || n_nationkey || ') now.' || chr(10) || chr(10) || '* one' || chr(10) || '* two' || chr(10) || chr(10) "
        "|| '| A | B |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_name || ' | x\\|y |' || chr(10) as md, n_name || ' & Co' as title from nation")
 def html_markdown(s, d):

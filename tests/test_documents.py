@@ -127,3 +127,33 @@ def test_report_rules():
             R.template(wrong)
     text = R.skeleton(t, [{"id": 1, "text": "fact", "tag": "1", "source": "https://a.test"}])
     assert "## 2. Title" in text and "- fact" in text and "<https://a.test>" in text
+
+
+@pytest.mark.parametrize("kind", ["prices", "dates", "people", "numbers", "emails", "tables"])
+def test_facts_of_all_pages(spark, tmp_path, kind):
+    """The query over stored pages, with a long page of a hot site and repeated facts, against a plain loop over the lines."""
+    import __spark_entry__ as entry
+
+    busy = "Ann Lee, CEO of Acme, paid $5 and €7 on 2024-05-06 for 3 GB; write to a@b.test or A@B.TEST.\n王小明總裁\n```\n$9\n```\n| A | B |\n|---|---|\n| 1 | 2 |\n\n"
+    pages = spark.read.parquet("/root/testdata/sf0.001/fetched_docs.parquet").select("doc_id", "site", "url", "title", "body")
+    more = [(10**9 + i, "hot.test", f"https://hot.test/{i}", "T", busy * (2000 if i == 0 else 2)) for i in range(100)]
+    pages.union(spark.createDataFrame(more, pages.schema)).union(spark.createDataFrame([(10**9 + 500, None, None, None, None)], pages.schema)).write.parquet(f"{tmp_path}/fetched_docs.parquet")
+    find = {"prices": lambda x, h: [(f[0], f[1], f[2], f[3]) for f in X.find_prices(x, h)], "dates": lambda x, h: [(f[0], f[3]) for f in X.find_dates(x)], "people": lambda x, h: [(f[0].lower(), f[1].lower()) for f in X.find_people(x)],
+            "numbers": lambda x, h: [(f[0], f[1], X.around(x, f[-2], f[-1])) for f in X.find_numbers(x, h)], "emails": lambda x, h: [(f[0].lower(),) for f in X.find_emails(x)]}
+    want = set()
+    for r in spark.read.parquet(f"{tmp_path}/fetched_docs.parquet").collect():
+        if kind == "tables":
+            want |= {(f"doc:{r.doc_id}", line, tuple(columns), len(rows)) for columns, rows, line in X.find_tables(r.body or "")}
+            continue
+        first, fence = {}, False
+        for n, raw in enumerate((r.body or "").split("\n"), 1):
+            if raw.lstrip().startswith(("```", "~~~")):
+                fence = not fence
+            elif not fence:
+                for key in find[kind](X.plain_line(raw), X._host(r.url)):
+                    first.setdefault(key, n)
+        want |= {(f"doc:{r.doc_id}", n, *key) for key, n in first.items()}
+    key = {"prices": ("value", "currency", "period", "per"), "dates": ("date", "raw"), "people": ("name", "role"), "numbers": ("value", "unit", "context"), "emails": ("email",), "tables": ("columns", "row_count")}[kind]
+    low = lambda v: tuple(v) if isinstance(v, list) else v.lower() if isinstance(v, str) and kind in ("people", "emails") else v
+    got = [(r.doc, r.line, *(low(r[k]) for k in key)) for r in entry.queries()[f"pages_{kind}"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and sum(x[0] == "doc:1000000000" for x in got) > 0
