@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import EngineError
-from ..functions.text import plain
+from ..functions.scanners import readable
 
 #: Letters of a section at most, of context on each side of a hit, and snippets of a document at most.
 SECTION_CHARS, CONTEXT, SNIPPETS = 6000, 240, 8
@@ -100,13 +100,14 @@ def _field(df: DataFrame, name: str) -> T.StructField:
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", body: str = "body") -> DataFrame:
-    """(id, line, section, raw, plain): non-blank lines outside code fences, numbered from 1."""
-    schema = T.StructType([_field(docs, id_col), T.StructField("line", T.IntegerType()), T.StructField("section", T.IntegerType()), T.StructField("raw", T.StringType())])
+    """(id, line, section, raw, plain): non-blank lines outside code fences, numbered from 1, as written and as they read."""
+    kinds = (("line", T.IntegerType()), ("section", T.IntegerType()), ("raw", T.StringType()), ("plain", T.StringType()))
+    schema = T.StructType([_field(docs, id_col), *[T.StructField(n, t) for n, t in kinds]])
 
     def make(key, text):
-        return [(key, n, sec, raw) for n, sec, raw in numbered_lines(text)]
+        return [(key, n, sec, raw, readable(raw)) for n, sec, raw in numbered_lines(text)]
 
-    return per_document(docs, [id_col, body], make, schema).withColumn("plain", plain(F.col("raw")))
+    return per_document(docs, [id_col, body], make, schema)
 
 
 def numbered_lines(text: str | None) -> list[tuple[int, int, str]]:

@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.errors import EngineError
-from millrace.functions import text, urls
+from millrace.functions import dateforms, scanners, text, urls
 from millrace.operators import documents as D
 from millrace.operators import extraction as X
 from millrace.operators import reports as R
@@ -40,17 +40,17 @@ def test_documents(spark):
 
 
 def test_prices():
-    p = lambda t, h="": [x[:5] for x in X.find_prices(t, h)]
+    p = lambda t, h="": [x[:5] for x in scanners.prices(t, h)]
     assert p("from $12–19/user/mo") == [(12.0, "USD", "month", "user", "$12–19/user/mo")]
     assert p("¥100 and 5元 and $1", "a.cn") == [(100.0, "CNY", None, None, "¥100"), (5.0, "CNY", None, None, "5元"), (1.0, "USD", None, None, "$1")]
     assert p("$5.7 trillion")[0][0] == 5.7 and p("A100$ 7") == [] and p("US$3M billed annually")[0][:3] == (3e6, "USD", "year")
 
 
 def test_dates_people_numbers_links():
-    assert [d[:3] for d in X.find_dates("03/04/2026, 13/04/2026, 31/02/2026")] == [("2026-03-04", "day", True), ("2026-04-13", "day", False)]
-    assert [x[:4] for x in X.find_people("Ann Lee (founder, Acme) met Former CEO Bob Ray Day")] == [("Ann Lee", "founder", "Acme", 0.8), ("Bob Ray Day", "CEO", None, 0.7)]
-    assert [n[:2] for n in X.find_numbers("H100 has 80 GB, 2.5x, 1.2M users, 7")] == [(80.0, "GB"), (2.5, "x"), (1.2e6, "users")]
-    assert X.find_links("[a](#x) [b](javascript:0) [c](c.html) https://z.test/,", "https://y.test/d/") == [("c", "https://y.test/d/c.html"), ("", "https://z.test/")]
+    assert [d[:3] for d in dateforms.scan("03/04/2026, 13/04/2026, 31/02/2026")] == [("2026-03-04", "day", True), ("2026-04-13", "day", False)]
+    assert [x[:4] for x in scanners.people("Ann Lee (founder, Acme) met Former CEO Bob Ray Day")] == [("Ann Lee", "founder", "Acme", 0.8), ("Bob Ray Day", "CEO", None, 0.7)]
+    assert [n[:2] for n in scanners.numbers("H100 has 80 GB, 2.5x, 1.2M users, 7")] == [(80.0, "GB"), (2.5, "x"), (1.2e6, "users")]
+    assert scanners.links("[a](#x) [b](javascript:0) [c](c.html) https://z.test/,", "https://y.test/d/") == [("c", "https://y.test/d/c.html"), ("", "https://z.test/")]
 
 
 def test_pipes():
@@ -138,22 +138,56 @@ def test_facts_of_all_pages(spark, tmp_path, kind):
     pages = spark.read.parquet("/root/testdata/sf0.001/fetched_docs.parquet").select("doc_id", "site", "url", "title", "body")
     more = [(10**9 + i, "hot.test", f"https://hot.test/{i}", "T", busy * (2000 if i == 0 else 2)) for i in range(100)]
     pages.union(spark.createDataFrame(more, pages.schema)).union(spark.createDataFrame([(10**9 + 500, None, None, None, None)], pages.schema)).write.parquet(f"{tmp_path}/fetched_docs.parquet")
-    find = {"prices": lambda x, h: [(f[0], f[1], f[2], f[3]) for f in X.find_prices(x, h)], "dates": lambda x, h: [(f[0], f[3]) for f in X.find_dates(x)], "people": lambda x, h: [(f[0].lower(), f[1].lower()) for f in X.find_people(x)],
-            "numbers": lambda x, h: [(f[0], f[1], X.around(x, f[-2], f[-1])) for f in X.find_numbers(x, h)], "emails": lambda x, h: [(f[0].lower(),) for f in X.find_emails(x)]}
+    find = {"prices": lambda x, h: [(f[0], f[1], f[2], f[3]) for f in scanners.prices(x, h)], "dates": lambda x, h: [(f[0], f[3]) for f in dateforms.scan(x)], "people": lambda x, h: [(f[0].lower(), f[1].lower()) for f in scanners.people(x)],
+            "numbers": lambda x, h: [(f[0], f[1], scanners.clip(x, f[-2], f[-1], 120)) for f in scanners.numbers(x, h)], "emails": lambda x, h: [(f[0].lower(),) for f in scanners.addresses(x)]}
     want = set()
     for r in spark.read.parquet(f"{tmp_path}/fetched_docs.parquet").collect():
         if kind == "tables":
-            want |= {(f"doc:{r.doc_id}", line, tuple(columns), len(rows)) for columns, rows, line in X.find_tables(r.body or "")}
+            want |= {(f"doc:{r.doc_id}", line, tuple(columns), len(rows)) for columns, rows, line in X.tables_in(r.body or "")}
             continue
         first, fence = {}, False
         for n, raw in enumerate((r.body or "").split("\n"), 1):
             if raw.lstrip().startswith(("```", "~~~")):
                 fence = not fence
             elif not fence:
-                for key in find[kind](X.plain_line(raw), X._host(r.url)):
+                for key in find[kind](scanners.readable(raw), X._host(r.url)):
                     first.setdefault(key, n)
         want |= {(f"doc:{r.doc_id}", n, *key) for key, n in first.items()}
     key = {"prices": ("value", "currency", "period", "per"), "dates": ("date", "raw"), "people": ("name", "role"), "numbers": ("value", "unit", "context"), "emails": ("email",), "tables": ("columns", "row_count")}[kind]
     low = lambda v: tuple(v) if isinstance(v, list) else v.lower() if isinstance(v, str) and kind in ("people", "emails") else v
     got = [(r.doc, r.line, *(low(r[k]) for k in key)) for r in entry.queries()[f"pages_{kind}"](spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and sum(x[0] == "doc:1000000000" for x in got) > 0
+
+
+def test_readable_lines():
+    for raw, want in (("> - **a** [x](http://y) \\[15\\] b[1] `c`", "a x b c"), ("| a \\| b | c |", "a | b | c"), ("# H __z__", "H z"), ("plain  text", "plain text"), ("![pic](a.png) [note 3]end", "pic end"), ("", "")):
+        assert scanners.readable(raw) == want
+    long = "x" * 100 + " $5 " + "y" * 100
+    assert scanners.clip(long, 101, 103, 20) == "…xxxxxxxx $5 yyyyyyyy…" and scanners.clip("short", 0, 5, 20) == "short"
+
+
+def test_scanner_cases():
+    p = lambda t: [x[:5] for x in scanners.prices(t)]
+    assert p("Business: €9.99 per user/month, billed annually")[0][2:4] == ("month", "user") and p("1,200 USD one-time")[0][2] == "one-time" and p("月費 299元/月")[0][:3] == (299.0, "CNY", "month")
+    assert [x[0] for x in p("$10 – $20 per month")] == [10.0, 20.0] and p("9,99 € pro Monat")[0][0] == 9.99 and p("2.0 in 2026 with 12 features") == [] and p("：JPY 6,410/月")[0][:3] == (6410.0, "JPY", "month")
+    assert [n[:2] for n in scanners.numbers("a $5.7 trillion market, 10k stars, 3 per cent, 營收 3.5億, 3 units")] == [(5.7e12, "USD"), (1e4, "stars"), (3.0, "%"), (3.5e8, None)]
+    who = lambda t: [x[:4] for x in scanners.people(t)]
+    assert who("Nvidia CEO Jensen Huang said") == [("Jensen Huang", "CEO", "Nvidia", 0.7)] and who("Lisa Su — Chair and CEO") == [("Lisa Su", "Chair and CEO", None, 0.6)]
+    assert who("Jensen Huang is the founder and CEO of NVIDIA.") == [("Jensen Huang", "founder and CEO", "NVIDIA", 0.9)] and who("輝達執行長黃仁勳今天表示") == [("黃仁勳", "執行長", None, 0.5)]
+    assert who("The Chief Executive Officer of the company spoke. Noticias Inicio Contacto Prensa") == [] and who("執行長表示看好") == []
+    assert [d[0] for d in dateforms.scan("民國115年10月8日, 2026 年 3 月, Oct. 8th, 2026, 25/12/2026, 2026-13-01, version 1.2.3")] == ["2026-10-08", "2026-03", "2026-10-08", "2026-12-25"]
+
+
+def test_html_tables_sources_and_one_pass(spark):
+    body = "intro <table><tr><th>A<th>B<tr><td>1<td>2</table>\n\n# H\n| A | B |\n|---|---|\n| 1 | 2 |\n\n| C | D |\n|---|---|\n| 3 | 4 |\n```\n<table><tr><th>X<th>Y<tr><td>1<td>2</table>\n```\n<table><tr><td>no end"
+    assert X.tables_in(body) == [(["A", "B"], [["1", "2"]], 1), (["C", "D"], [["3", "4"]], 8)]
+    df = spark.createDataFrame([(1, body, None, "Page"), (2, BODY, "https://h.test/d/", None), (3, None, None, None)], "doc_id long, body string, url string, title string")
+    assert X.extract(df, "tables", title="title").first().title == "Page"
+    assert [r.line for r in X.extract(df, "prices", section=2).collect()] == [4] and X.extract(df, "prices", section=1).count() == 0
+    every = X.extract_all(df).collect()
+    assert {(k, sum(r.kind == k for r in every)) for k in X.KINDS} == {(k, X.extract(df, k).count()) for k in X.KINDS} and [r.nth for r in every if r.kind == "emails"] == [1]
+    assert X.named_sources("doc:2, doc:1", "DOC:2,,doc:9") == ["doc:2", "doc:1", "doc:9"]
+    got = X.extract_from(df, ["doc:2,doc:1", "Doc:2", "doc:9"], "tables").select("source_no", "doc").distinct().collect()
+    assert {tuple(r) for r in got} == {(1, "doc:2"), (2, "doc:1")}
+    with pytest.raises(EngineError):
+        X.named_sources(" , ")
