@@ -49,7 +49,7 @@ ONCE = (r"one[- ]?(?:time|off)|lifetime|\bonce\b|買斷|买断|一次付清|一
         r"paiement unique|une (?:seule )?fois|買い切り|一度だけ|一回払い|永久")
 #: Counting units.
 UNITS = {
-    "user": [r"users?\b", r"Nutzer\w*", r"Benutzer\w*", r"utilisateurs?\b", r"usuarios?\b", r"usuários?\b", r"使用者", r"用戶", r"利用者", r"ユーザー", r"人", r"(?<![單单席])位"],
+    "user": [r"users?\b", r"Nutzer\w*", r"Benutzer\w*", r"utilisateurs?\b", r"usuarios?\b", r"usuários?\b", r"使用者", r"用戶", r"利用者", r"ユーザー", r"人", r"(?<![單单単席])位"],
     "seat": [r"seats?\b", r"Pl(?:atz|ätze)\b", r"postes?\b", r"puestos?\b", r"assentos?\b", r"席位?"],
     "member": [r"members?\b", r"Mitglied\w*", r"membres?\b", r"miembros?\b", r"membros?\b", r"會員", r"会员", r"会員", r"成員"],
     "device": [r"devices?\b", r"Geräte?\w*", r"appareils?\b", r"dispositivos?\b", r"裝置", r"装置", r"設備", r"端末"],

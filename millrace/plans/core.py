@@ -18,8 +18,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_units(spark: SparkSession, d: str) -> DataFrame:
-    """All converted rows with the scale that was decoded."""
-    return _harmonized(spark, d).select("hit_id", "common_unit", "common_amount", "scale", "stated")
+    """All converted rows with the scale that was decoded, and whether decoding changed the row's own likeliest reading."""
+    return _harmonized(spark, d).select("hit_id", "common_unit", "common_amount", "scale", "changed", "stated")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

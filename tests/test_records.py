@@ -145,21 +145,60 @@ def test_stated_and_skew(spark):
     assert len(got) == 3001 and sum(not r.stated for r in got) == 1
 
 
-def test_decoding():
-    """Viterbi against trying all paths, on series with doubtful separators."""
+def _row(*amounts, told=None, costs=None, level=1.5):
+    return "USD/month", list(amounts), list(costs or [float(i) for i in range(len(amounts))]), told, level, 0.9
+
+
+def test_decoding_against_all_paths(monkeypatch):
+    """Viterbi against trying all paths, with levels that do not move."""
     import itertools
 
-    series_ = [units.readings({"raw": raw, "context": raw, "value": None, "currency": "USD", "period": "month", "per": None, "note": None, "country": None}, {"USD": 1.0}, {"month": ("month", 1.0)}) for raw in ("1.234", "$1.5", "$1,250", "2", "x")]
-    cost = lambda path: sum(s[k][0] for s, k in zip(series_, path) if s) + sum(units._step(a[i], b[j]) for (a, i), (b, j) in itertools.pairwise((s, k) for s, k in zip(series_, path) if s))
-    best = min(itertools.product(*[range(max(1, len(s))) for s in series_]), key=cost)
-    got = units.decode(series_)
-    assert got[-1] == -1 and cost([max(0, k) for k in got]) == pytest.approx(cost(best))
+    monkeypatch.setattr(units, "FOLLOW", 0.0)
+    scales = (1.0, *units.OPEN_SCALES)
+    for rows in ([_row(1.234, 1234.0), _row(0.03), _row(30.0)], [_row(0.02), _row(0.05), _row(40.0, told=1000.0), _row(5.0, 5000.0)], [_row(0.3), _row(0.2), _row(0.4), _row(0.3)]):
+        def cost(path):
+            total, before = 0.0, 1.0
+            for row, (scale, i) in zip(rows, path):
+                total += (0.0 if before == scale else units.LEAVE if scale == 1.0 else units.ENTER) + row[2][i] + units.Decoder._off(row[1][i] * (row[3] or scale), row[4], row[5])[0]
+                before = scale
+            return total
+        each = [[(s, i) for s in scales for i in range(len(r[1]))] for r in rows]
+        got = units.Decoder().decode(rows)
+        assert min(map(cost, itertools.product(*each))) == pytest.approx(min(cost(p) for p in itertools.product(*each) if [(i, r[3] or s) for (s, i), r in zip(p, rows)] == got))
+
+
+def test_decoding_decides():
+    """A lone price and blocks of prices off their level are corrected, wherever they stand; what a row tells stays."""
+    scale = lambda rows, size=10**6: [x for d in [units.Decoder()] for at in range(0, len(rows), size) for _, x in d.decode(rows[at : at + size])]
+    usual = [_row(x) for x in (12.0, 80.0, 30.0, 150.0, 9.0, 40.0, 25.0, 200.0, 15.0, 60.0)] * 2
+    assert scale(usual) == [1.0] * 20
+    assert scale(usual[:7] + [_row(0.03)] + usual[7:]) == [1.0] * 7 + [1000.0] + [1.0] * 13
+    small = [_row(r[1][0] / 1000) for r in usual]
+    for size in (10**6, 8):  # also in blocks
+        assert scale(usual + small, size) == [1.0] * 20 + [1000.0] * 20 and scale(small + usual, size) == [1000.0] * 20 + [1.0] * 20
+    cents = [_row(r[1][0] * 100) for r in usual]
+    assert scale(usual + cents) == [1.0] * 20 + [0.01] * 20 and scale(usual + [_row(r[1][0] / 1e6) for r in usual])[-20:] == [1e6] * 20
+    assert scale([*usual, _row(30000.0, told=1.0), *usual])[20] == 1.0
+    picks = [i for i, _ in units.Decoder().decode([*usual, _row(0.15, 150.0), _row(12.5, 12500.0)])]
+    assert picks[-2:] == [1, 0]
+
+
+def test_levels_decide_readings(spark, monkeypatch):
+    """A separator and a scale that nobody tells come from the level of the site; hot pages are spread with the same result."""
+    rows = [(i, float(20 + i % 50), "USD", "month", None, f"${20 + i % 50}", "x", "us", f"doc:{i % 7}", None, i, "") for i in range(200)]
+    rows += [(1000, None, "USD", "month", None, "$0.045", "x", "us", "doc:1", None, 50, ""), (1001, None, "USD", "month", None, "$30,125", "x", "us", "doc:2", None, 60, ""), (1001, None, "USD", "month", None, "$30,125", "x", "us", "doc:2", None, 60, "")]
+    df = spark.createDataFrame(rows, HITS)
+    for hot in (units.HOT, 10):
+        monkeypatch.setattr(units, "HOT", hot)
+        got = {r.hit_id: r for r in units.harmonize(df, *_tables(spark)).collect()}
+        assert got[1000].common_amount == pytest.approx(45.0) and got[1000].scale == 1000.0 and got[1001].common_amount == pytest.approx(30.125) and got[1000].changed and got[1001].changed
+        assert units.harmonize(df, *_tables(spark)).count() == 203 and sum(r.changed for r in got.values()) == 2
 
 
 def test_price_words():
     assert P.numbers("1,234.5") == [1234.5] and P.numbers("57,08") == [57.08] and P.numbers("1.234") == [1.234, 1234.0] and P.numbers("1,234,567") == [1234567.0] and P.numbers("0,5") == [0.5]
     assert P.span_of("（24 小時的費用）") == ("day", 1.0) and P.span_of("for twelve months")[0] == "year" and P.span_of("/四半期")[0] == "quarter" and P.span_of(" (einmal zu zahlen)") == ("once", 1.0) and P.span_of("x") is None
-    assert P.unit_of("361 RMB/TB") == ("TB", 1.0) and P.unit_of("/25 seat每月") == ("seat", 25.0) and P.unit_of("（單位：千）") is None and P.unit_of("je Konto") == ("", 1.0)
+    assert P.unit_of("361 RMB/TB") == ("TB", 1.0) and P.unit_of("/25 seat每月") == ("seat", 25.0) and P.unit_of("（單位：千）") is None and P.unit_of("（週単位）（TBごと）") == ("TB", 1.0) and P.unit_of("je Konto") == ("", 1.0)
 
 
 def test_streaming(spark, tmp_path):
