@@ -5,6 +5,10 @@ stem (Han). Reading is tolerant: kinds are found by longest-common-subsequence r
 shortened forms, persons through nicknames and initials, any order of the parts, with or without
 brackets. A form is the parts together with the organisation's own web domain.
 
+A name without a known kind is kept as its words. It tells less than a full name, so it links only ids that have no
+other: all words must agree, each but for one letter where it has five or more; a single word only with
+the same own domain.
+
 Candidates come from blocks under kind and number: the suffix of brand and place, subsequences that near
 brands, places and stems must share, and the own domain. A block of names that is common is refined with
 the subsequences of the other token, so every pair that the decision accepts shares a block whatever the
@@ -12,8 +16,8 @@ size of the table. Pairs are decided by the ratio of the longest common subseque
 stem; another kind, number, person or own domain parts them. Linked forms and the forms of one id are
 joined into classes.
 
-Nulls, blanks and placeholders are no names; names without a known kind link nothing. Repeated rows
-and copies are one form. Ids that are null are left out.
+Nulls, blanks and placeholders are no names. Repeated rows and copies are one form. Ids that are null or
+have no name are left out.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from math import comb
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,6 +92,10 @@ _EXACT = {f.replace(".", ""): kind for kind, (fs, _) in KINDS.items() for f in f
 _EXACT_HAN = {f: kind for kind, (_, fs) in KINDS.items() for f in fs}
 _SHORT = {n: full for full, ns in NICKNAMES.items() for n in [full, *ns]}
 _LINKING = {"of", "the", "and", "-", "no", "at", "&"}
+#: Short forms of words that end names of companies.
+LEGAL = {"limited": "ltd", "incorporated": "inc", "corporation": "corp", "company": "co", "international": "intl", "brothers": "bros", "association": "assn", "department": "dept", "university": "univ"}
+#: Letters from which a word of a name without a kind may differ by one.
+LOOSE_WORD = 5
 
 
 def lcs(a: str, b: str) -> int:
@@ -220,10 +228,11 @@ def _chinese(text: str) -> dict | None:
             stem, tail = numbered[1], numbered[2]
         else:
             whole, best = han(t), (0.0, 0)
-            if whole[5:] in _EXACT_HAN:
-                best = (2.0, 5)
-            for k in range(2, len(whole) - 1) if best[1] == 0 else ():
-                r = _han_kind(whole[k:])[0] + {5: 0.12, 4: 0.06, 6: 0.03}.get(k, 0)
+            exact = next((k for k in range(2, len(whole) - 1) if whole[k:] in _EXACT_HAN), None)
+            if exact:  # the longest kind that is written in full or in a usual short form
+                best = (2.0, exact)
+            for k in range(2, len(whole) - 1) if not exact else ():
+                r = _han_kind(whole[k:])[0]
                 if r > best[0]:
                     best = (r, k)
             stem, tail = whole[: best[1]], whole[best[1] :]
@@ -233,12 +242,23 @@ def _chinese(text: str) -> dict | None:
     return {"kind": kind, "number": number, "person": "", "place": "", "brand": _bare(latin), "stem": stem}
 
 
+def _untyped(text: str) -> dict | None:
+    """A name without a known kind: its words in ``brand``, sorted; its Han letters in ``stem``."""
+    number = "".join(regex.findall(r"\d+", text)[:1])
+    stem = "".join(SIMPLIFIED.get(c, c) for c in regex.findall(r"\p{Han}", text))
+    words = [_bare(w).strip(".'’-") for w in regex.split(r"[^\p{L}\p{M}.'’-]+", regex.sub(r"\S*\d+\S*|\p{Han}", " ", text))]
+    words = sorted(LEGAL.get(w, _SHORT.get(w, w)) for w in words if w and w not in _LINKING)
+    if not words and not stem and not number:
+        return None
+    return {"kind": "", "number": number, "person": "", "place": "", "brand": " ".join(words), "stem": stem}
+
+
 def read_name(text: str | None) -> dict | None:
-    """The parts of a name, or None where it has no kind or no name of its own."""
+    """The parts of a name; ``kind`` is empty where it has no known one. None where nothing can be read."""
     if not text:
         return None
     t = transducer().apply(text).strip()
-    return _chinese(t) if regex.search(r"\p{Han}", t) else _english(t)
+    return (_chinese(t) if regex.search(r"\p{Han}", t) else _english(t)) or _untyped(t)
 
 
 _PARTS = ["kind", "number", "person", "place", "brand", "stem"]
@@ -266,9 +286,16 @@ def forms(records: DataFrame, id_col: str = "id", names: tuple[str, ...] = ("nam
         F.regexp_extract(F.coalesce(F.lower(F.trim(F.col(url))), F.lit("")), r"^https?://(?:www\.|m\.|shop\.)?([a-z0-9-]+)\.[a-z.]+/?$", 1).alias("dom"))
     doms = base.where("dom <> ''").groupBy("id").agg(F.min("dom").alias("dom"))
     texts = base.select("id", F.explode("texts").alias("text")).where(is_real(F.col("text"))).distinct()
-    read = texts.select("text").distinct().select("text", _read("text").alias("p")).where("p is not null").select("text", "p.*")
+    # names are few bytes and slow to read, so they are spread over more tasks than their size asks for
+    names = texts.select("text").distinct().repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    read = names.select("text", _read("text").alias("p")).where("p is not null").select("text", "p.*")
     own = texts.join(read, "text").select("id", *_PARTS).distinct().join(doms, "id", "left").withColumn("dom", F.coalesce("dom", F.lit("")))
-    return cut(own.withColumn("fid", stable_hash(*_PARTS, "dom", seed=3)))
+    # a name without a kind counts only where an id has no other
+    typed = F.max(F.col("kind") != "").over(Window.partitionBy("id"))
+    own = own.withColumn("typed", typed).where("kind <> '' or not typed").drop("typed")
+    # a single word, or two Han letters, is a form of its own id only: equal ones need not mean the same
+    alone = F.when(F.expr("kind = '' and dom = '' and instr(brand, ' ') = 0 and length(stem) < 3"), F.col("id")).otherwise(F.lit(""))
+    return cut(own.withColumn("fid", stable_hash(*_PARTS, "dom", alone, seed=3)))
 
 
 def usual_letters(own: DataFrame) -> set[str]:
@@ -295,6 +322,11 @@ def near_keys(token: str, share: float) -> list[str]:
     return out
 
 
+def one_off(word: str, loose: int = LOOSE_WORD) -> set[str]:
+    """Keys of which two words have one in common if they are equal or, from ``loose`` letters, differ by one letter more, less or other, or two swapped."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} if len(word) >= loose else {word}
+
+
 def _told_place(place: str) -> bool:
     """More than an initial."""
     return bool(place) and not place.endswith(".")
@@ -304,6 +336,12 @@ def block_keys(form: dict) -> list[tuple[str, str]]:
     """(role, key) of the blocks of a form: b, p, s for brand, place and the stem beside a brand, which may
     be refined; x and d for stems and domains, which are compared as they are."""
     brand, place, stem, out = form["brand"], form["place"], form["stem"], []
+    if not form["kind"]:
+        words = brand.split()
+        out = [("g", k) for k in sorted({k for w in words for k in one_off(w)})] if len(words) > 1 else []
+        if stem:
+            out += [("x", k) for k in sorted(one_off(stem, 4))]
+        return out + ([("d", form["dom"])] if form["dom"] else [])
     if brand:
         out.append(("b", brand[-MIN_LATIN:]))
     if _told_place(place):
@@ -325,6 +363,9 @@ def refined_keys(role: str, form: dict) -> list[tuple[str, int]]:
     """(key, side) that refine a common block of a role by the other token. Forms of side 1 are compared only
     with those of side 0: whole places with initials of a place, which need the same brand."""
     brand, place, stem = form["brand"], form["place"], form["stem"]
+    if role == "g":  # all words agree, so every two words do
+        keys = sorted((one_off(w) for w in brand.split()), key=min)
+        return sorted({(f"g{a} {b}", 0) for x, y in combinations(keys, 2) for m in x for n in y for a, b in [sorted((m, n))]})
     if role != "b":
         return [(k, 0) for k in near_keys(brand, NEAR_BRAND)]
     out = [("s" + k, 0) for k in near_keys(stem, NEAR_STEM)]
@@ -353,10 +394,10 @@ def candidates(nodes: DataFrame) -> DataFrame:
     keyed = cut(first.select("fid", "role", stable_hash("role", "key", seed=1).alias("block"), "side").distinct())
     sizes = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     keyed = keyed.join(sizes, "block")
-    hot = keyed.where((c("n") > COMMON) & c("role").isin("b", "p", "s")).drop("side")
+    hot = keyed.where((c("n") > COMMON) & c("role").isin("b", "p", "s", "g")).drop("side")
     more = _each(hot.join(nodes, "fid").withColumn("role", F.concat("role", c("block").cast("string"))), lambda at, f: [(at, k, side) for k, side in refined_keys(at[0], f)])
     refined = more.select("fid", stable_hash("role", "key", seed=2).alias("block"), "side").distinct()
-    kept = keyed.where((c("n") <= COMMON) | ~c("role").isin("b", "p", "s")).select("fid", "block", "side")
+    kept = keyed.where((c("n") <= COMMON) | ~c("role").isin("b", "p", "s", "g")).select("fid", "block", "side")
     keyed = cut(kept.union(refined).join(nodes, "fid").select("block", "side", "fid", *_PARTS, "dom"))
     a = keyed.where("side = 0").select("block", *[c(x).alias("a_" + x) for x in ["fid", *_PARTS, "dom"]])
     b = keyed.select("block", "side", *[c(x).alias("b_" + x) for x in ["fid", *_PARTS, "dom"]])
@@ -367,7 +408,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
         f"(a_{x} = '' or b_{x} = '' or levenshtein(a_{x}, b_{x}) <= (length(a_{x}) + length(b_{x})) * if({backed}, {loose}, {strict}))")
     tests = [
         "(a_fid < b_fid or side = 1) and a_kind = b_kind and a_number = b_number", "(a_dom = '' or b_dom = '' or a_dom = b_dom)",
-        "(a_person = '' or b_person = '' or left(a_person, 1) = left(b_person, 1))", near("brand", 0.5, 0.25), f"(a_place like '%.' or b_place like '%.' or {near('place', 0.7, 0.28)})",
+        "(a_person = '' or b_person = '' or left(a_person, 1) = left(b_person, 1))", f"(a_kind = '' or {near('brand', 0.5, 0.25)})", f"(a_place like '%.' or b_place like '%.' or {near('place', 0.7, 0.28)})",
         f"(a_brand <> '' or b_brand <> '' or a_stem = '' or b_stem = '' or {backed} or levenshtein(a_stem, b_stem) <= 2)",
     ]
     return a.join(b, "block").where(" and ".join(tests)).drop("block", "side")
@@ -380,8 +421,31 @@ def same_person(a: str, b: str) -> bool:
     return a[0] == b[0] and (a.endswith(".") or b.endswith("."))
 
 
+def _alike_untyped(a: dict, b: dict, usual: set[str]) -> bool:
+    """The decision on two names without a kind."""
+    if a["dom"] and b["dom"] and a["dom"] != b["dom"]:
+        return False
+    backed = bool(a["dom"]) and a["dom"] == b["dom"]
+    if a["stem"] or b["stem"]:
+        s, t = sorted((a["stem"], b["stem"]), key=len)
+        near = s == t or (len(s) >= 4 and bool(one_off(s, 4) & one_off(t, 4)) and len(t) - lcs(s, t) <= 1)
+        other = len(s) == len(t) and sorted(s) != sorted(t) and all(x in usual and y in usual for x, y in zip(s, t) if x != y)
+        return a["brand"] == b["brand"] and near and not other
+    rest, words = b["brand"].split(), a["brand"].split()
+    if len(words) != len(rest) or (len(words) < 2 and not backed):
+        return False
+    for w in [w for w in words if w not in rest] if words != rest else ():
+        fit = next((x for x in rest if x not in words and one_off(w) & one_off(x) and ratio(w, x) >= 0.75), None)
+        if fit is None:
+            return False
+        rest.remove(fit)
+    return bool(words)
+
+
 def alike(a: dict, b: dict, usual: set[str]) -> bool:
     """The decision on two forms of one kind and number."""
+    if not a["kind"]:
+        return _alike_untyped(a, b, usual)
     if not same_person(a["person"], b["person"]):
         return False
     backed = bool(a["dom"]) and a["dom"] == b["dom"]

@@ -26,7 +26,7 @@ def test_names_are_read_in_any_order():
     for t in ("William Lifofo Design Studio No. 9, Fobo", "Lifofo, William - Design Studio No. 9 (Fobo)", "Fobo: Design Studio No. 9 Lifofo William", "Bill Lifófo Dseign Studio No. 9, Fobo"):
         assert N.read_name(t) == want
     assert N.read_name("第2電力股份有限公司（蘭月利凱卡）")["stem"] == "蘭月利凱卡" and N.read_name("兰月利凯卡第2电力股份有限公司")["kind"] == "power"
-    assert N.read_name("KZBNG") is None and N.read_name("") is None and N.read_name(None) is None
+    assert N.read_name("KZBNG") == {"kind": "", "number": "", "person": "", "place": "", "brand": "kzbng", "stem": ""} and N.read_name("大安里綜合醫院")["stem"] == "大安里" and N.read_name("--") is None and N.read_name("") is None and N.read_name(None) is None
 
 
 def _pairs(spark, rows):
@@ -93,3 +93,29 @@ def test_common_blocks_lose_no_pair(spark):
     forms = [dict(x) for x in {tuple(sorted(f.items())) for f in forms}]
     want = _accepted(forms)
     assert len(want) > 1000 and not want - _candidates(spark, forms)
+
+
+UNTYPED = [
+    ("a", None, "Northwind Trading Ltd", None, None), ("b", None, "Northwnd Trading Limited", None, None), ("c", None, "Northwind Tradings Corp", None, None), ("d", None, "Trading, Northwind (Ltd.)", ["NTL"], None),
+    ("e", None, "Oakridge Steel Works", None, None), ("f", None, "Oakridge Steel Mill", None, None), ("g", None, "NTL", None, None), ("h", "新竹鋼鐵廠", None, None, None), ("i", "新竹鋼铁厂", None, None, None), ("j", "新竹紡織廠", None, None, None),
+    ("k", None, "Kopo Titoti", ["Kopo Titoti Clinic"], None), ("l", None, "Kopo Titoti Bakery", ["Kopo Titoti"], None), ("m", None, "Umbrella", None, "https://umbrella.test/"), ("n", None, "umbrella", None, "https://www.umbrella.test"), ("o", None, "Northwind Trading Ltd 2", None, None),
+]
+
+
+def test_names_without_a_known_kind(spark):
+    """They link where all words agree; a nickname beside a full name links nothing; each id has its group."""
+    assert _pairs(spark, UNTYPED) == [("a", "b"), ("a", "d"), ("b", "d"), ("h", "i"), ("m", "n")]
+    df = spark.createDataFrame([(*r, 1) for r in UNTYPED], "id string, name_zh string, name_en string, aliases array<string>, official_url string, fid int")
+    got = {r.id: r.class_size for r in N.membership(df).collect()}
+    assert set(got) == {r[0] for r in UNTYPED} and got["a"] == 3 and got["g"] == 1
+
+
+def test_common_block_of_names_without_a_kind(spark):
+    """More names than COMMON share two words; against all pairs."""
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(40)]
+    words += [w[:2] + w[3:] for w in words[:20]] + [w[:3] + "z" + w[4:] for w in words[:20]]
+    rows = [(f"{i:03d}", None, f"{w.title()} Trading Ltd", None, None) for i, w in enumerate(words)]
+    forms = {x[0]: {**N.read_name(x[2]), "dom": ""} for x in rows}
+    want = {(x, y) for x, y in itertools.combinations(sorted(forms), 2) if N.alike(forms[x], forms[y], set())}
+    assert len(want) >= 40 and want <= set(_pairs(spark, rows))
