@@ -44,6 +44,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.found(_t(spark, d, "fetched_docs"))
 
 
+def p5_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of p5_found with how they are known."""
+    return residue.evidence(_t(spark, d, "fetched_docs"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return namelink.same_organisation(_t(spark, d, "kb_records"))
 
@@ -69,7 +74,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_bodies": p1_bodies, "p5_found": p5_found, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_segments": p9_segments}
+    return {"p1_found": p1_found, "p1_bodies": p1_bodies, "p5_found": p5_found, "p5_evidence": p5_evidence, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_segments": p9_segments}
 
 
 def oracle_sql() -> dict[str, str]:
