@@ -65,6 +65,12 @@ def percent_decode(c: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.regexp_replace(c, r"\+", "%2B")), c)
 
 
+def shell_quote(c: Column) -> Column:
+    """The text as one word of a shell: as it is if it holds plain letters only, else in single quotes."""
+    quoted = F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("'\\''")), F.lit("'"))
+    return F.when(c.rlike(r"^[A-Za-z0-9_@%+=:,./-]+$"), c).otherwise(quoted)
+
+
 def strip_tags(c: Column) -> Column:
     """HTML without tags, entities decoded, white space collapsed."""
 

@@ -71,6 +71,17 @@ def query_terms(query: str) -> list[tuple[str, str, bool]]:
     return out
 
 
+def terms_of(query: Column) -> Column:
+    """The normalised terms of a column of queries, as ``query_terms`` gives them; equal queries are read once in a batch."""
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def read(texts: pa.Array) -> pa.Array:
+        memo: dict[str, list[str]] = {}
+        return pa.array([None if q is None else memo[q] if q in memo else memo.setdefault(q, [n for _, n, _ in query_terms(q)]) for q in texts.to_pylist()], pa.list_(pa.string()))
+
+    return read(query)
+
+
 # ---------------------------------------------------------------- scores
 
 def nearest_stretch(q: str, t: str) -> int:

@@ -53,10 +53,11 @@ def quote(df: DataFrame, price: str = "price", before: str = "previous_close", v
 
 
 def bars(df: DataFrame, key: str, ts: str, offset_seconds: int = 0) -> DataFrame:
-    """Rows with a close, with the local ``date``; of equal dates in a row the last is kept."""
+    """Rows with a close, with the local ``date``; the last of each date is kept. A hot key is spread over its dates, and
+    only one row of a date leaves a task."""
     dated = df.where(F.col("close").isNotNull()).withColumn("date", F.date_format(F.timestamp_seconds(F.col(ts).cast("bigint") + offset_seconds), "yyyy-MM-dd"))
-    after = F.lead("date").over(Window.partitionBy(key).orderBy(ts))
-    return dated.withColumn("__next", after).where(F.col("__next").isNull() | (F.col("__next") != F.col("date"))).drop("__next")
+    latest = Window.partitionBy(key, "date").orderBy(F.desc(ts), *[F.desc(c) for c in df.columns if c not in (key, ts)])
+    return dated.withColumn("__n", F.row_number().over(latest)).where("__n = 1").drop("__n")
 
 
 def summary(df: DataFrame, key: str = "symbol", date: str = "date", close: str = "close", high: str | None = "high", low: str | None = "low") -> DataFrame:

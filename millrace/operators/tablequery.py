@@ -9,7 +9,7 @@ aggregates skip them, sorting puts cells that do not fit last in both directions
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +20,8 @@ from ..errors import EngineError
 from ..functions import cells
 from ..functions.names import clean_headers, resolve
 
+#: The row number in a file, as sources give it; rows that are shown if no limit is asked for.
+ORD, SHOWN = "_ord", 20
 _WORDS = (" not contains ", " contains ", " startswith ", " starts with ")
 _SYMBOL = re.compile(r"<=|>=|!=|<>|==|<|>|=|!")
 _SAME = {"<>": "!=", "==": "="}
@@ -164,7 +166,10 @@ class TableQuery:
                 key = resolve(df.columns, self.group_by)
                 named = clean_headers([key, *[n for n, _ in made]])
                 keyed = F.trim(F.coalesce(cells.text_of(F.col(f"`{key}`"), df.schema[key].dataType), F.lit("")))
-                df = df.groupBy(keyed.alias(named[0])).agg(*[c.alias(n) for n, (_, c) in zip(named[1:], made)])
+                first = [F.min(ORD).alias("__first")] if ORD in df.columns and not self.sort else []
+                df = df.groupBy(keyed.alias(named[0])).agg(*[c.alias(n) for n, (_, c) in zip(named[1:], made)], *first)
+                if first:  # rows that are numbered in their file give groups in order of first appearance
+                    df = df.orderBy("__first").drop("__first")
             else:
                 df = df.agg(*[c.alias(n) for n, (_, c) in zip(clean_headers([n for n, _ in made]), made)])
         if self.sort:
@@ -173,3 +178,9 @@ class TableQuery:
             picked = [resolve(df.columns, n) for n in self.select.split(",") if n.strip()]
             df = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(picked, clean_headers(picked))])
         return df.limit(self.limit) if self.limit is not None else df
+
+    def counts(self, df: DataFrame, shown: int = SHOWN) -> DataFrame:
+        """One row (total, returned, truncated): rows of the result, rows that are shown, and whether some are not."""
+        most = self.limit if self.limit is not None else shown
+        total = replace(self, limit=None, sort=None).run(df).agg(F.count(F.lit(1)).alias("total"))
+        return total.select("total", F.least("total", F.lit(most)).cast("bigint").alias("returned"), (F.col("total") > most).alias("truncated"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import units
-from . import records, tables, texts
+from . import files, joins, records, tables, texts
 from .tables import t
 
 
@@ -27,8 +27,8 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_units": p2_units, **tables.Q, **texts.Q, **records.Q}
+    return {"p2_found": p2_found, "p2_units": p2_units, **tables.Q, **texts.Q, **records.Q, **files.Q, **joins.Q}
 
 
 def oracle_sql() -> dict[str, str]:
-    return tables.SQL | texts.SQL | records.SQL
+    return tables.SQL | texts.SQL | records.SQL | files.SQL | joins.SQL

@@ -35,22 +35,6 @@ def kb_substring_score(s, d):
     return k.select("rec_no", round_half_away(knowledge.substring_score(F.col("name_zh"), "診所"), 3).alias("score"))
 
 
-@query()
-def kb_search(s, d):
-    found = knowledge.search(t(s, d, "kb_records"), "儲蓄銀行 Savings 官網", limit=50)
-    return found.select("rec_no", "id", "name_zh", "score", "match", "matched_terms")
-
-
-@query()
-def kb_search_kind(s, d):
-    return knowledge.search(t(s, d, "kb_records"), "water company", kind="org", category="utilities", limit=20, narrow=True).select("rec_no", "id", "score", "match")
-
-
-@query()
-def kb_near_misses(s, d):
-    return knowledge.near_misses(t(s, d, "kb_records"), "postel savice").select("id", "score")
-
-
 @query("select distinct category from kb_records where category is not null and kind = 'org'")
 def kb_categories(s, d):
     return knowledge.categories_of(t(s, d, "kb_records").where("kind = 'org'"))
@@ -110,19 +94,19 @@ def origin_drop_reasons(s, d):
     return knowledge.reason_counts(_origins(s, d))
 
 
-@query("select 'n' || n_nationkey as domain, coalesce(case when n_nationkey % 5 = 0 then 'Curated ' || n_nationkey end, n_name) as name from nation")
+@query("select 'n' || p_partkey as domain, coalesce(case when p_partkey % 5 = 0 then 'Curated ' || p_partkey end, p_name) as name from part")
 def overlay_names(s, d):
-    n = t(s, d, "nation")
-    rows = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("domain"), F.col("n_name").alias("name"), F.array("n_name").alias("aliases"))
-    cur = n.where("n_nationkey % 5 = 0").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("domain"), F.concat(F.lit("Curated "), F.col("n_nationkey").cast("string")).alias("name"), F.array(F.lit("c")).alias("aliases"))
+    n = t(s, d, "part")
+    rows = n.select(F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("domain"), F.col("p_name").alias("name"), F.array("p_name").alias("aliases"))
+    cur = n.where("p_partkey % 5 = 0").select(F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("domain"), F.concat(F.lit("Curated "), F.col("p_partkey").cast("string")).alias("name"), F.array(F.lit("c")).alias("aliases"))
     return knowledge.overlay(rows, cur).select("domain", "name")
 
 
-@query("select 'd' || n_nationkey as domain, least(100, n_nationkey * 10)::int as popularity_bucket from nation where n_nationkey < 20 union all select 'd' || n_nationkey, n_nationkey * 10 from nation where n_nationkey >= 20")
+@query("select 'd' || p_partkey as domain, least(100, p_partkey * 10) as popularity_bucket from part where p_partkey < 20 union all select 'd' || p_partkey, p_partkey * 10 from part where p_partkey >= 20")
 def merge_by_domain(s, d):
-    n = t(s, d, "nation").select(F.concat(F.lit("d"), F.col("n_nationkey").cast("string")).alias("domain"), F.array("n_name").alias("aliases"), F.array().cast("array<string>").alias("alt_urls"), "n_nationkey")
-    base = n.where("n_nationkey < 20").select("domain", "aliases", "alt_urls", F.lit(100).alias("popularity_bucket"))
-    return knowledge.merge_by_domain(base, n.select("domain", "aliases", "alt_urls", (F.col("n_nationkey") * 10).alias("popularity_bucket"))).select("domain", "popularity_bucket")
+    n = t(s, d, "part").select(F.concat(F.lit("d"), F.col("p_partkey").cast("string")).alias("domain"), F.array("p_name").alias("aliases"), F.array().cast("array<string>").alias("alt_urls"), "p_partkey")
+    base = n.where("p_partkey < 20").select("domain", "aliases", "alt_urls", F.lit(100).cast("bigint").alias("popularity_bucket"))
+    return knowledge.merge_by_domain(base, n.select("domain", "aliases", "alt_urls", (F.col("p_partkey") * 10).alias("popularity_bucket"))).select("domain", "popularity_bucket")
 
 
 @query("select rec_no, 'no https address' as error from kb_records where not coalesce(starts_with(official_url, 'https://'), false) union all select rec_no, 'unknown category' from kb_records where coalesce(category, '') not in ('food', 'tax')")
@@ -142,6 +126,136 @@ def ttl_fresh(s, d):
     return knowledge.fresh(t(s, d, "fetched_docs"), F.lit("2024-06-01T00:00:00Z").cast("timestamp"), 30).select("doc_id")
 
 
+# ---------------------------------------------------------------- search
+
+def _norm_sql(c: str) -> str:
+    """SQL: the normalised text of a column."""
+    wide, narrow = (x.replace("'", "''") for x in (knowledge._WIDE, knowledge._NARROW))
+    return f"regexp_replace(translate(lower(translate({c}, '{wide}', '{narrow}')), '份証台裡', '分證臺裏'), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
+def _score_sql(q: str, texts: str) -> str:
+    """SQL: (t, edit, score) of the distinct normalised ``texts`` (a query with the columns t, edit) against the normalised term ``q``."""
+    n = len(q)
+    budget = 0 if n < 3 else 1 if n <= 6 else 2
+    pairs = [q[i : i + 2] for i in range(n - 1)]
+    need = {c: q.count(c) for c in q}
+    holds = " and ".join(f"length(w) - length(replace(w, '{c}', '')) >= {k}" for c, k in need.items())
+    share = "(" + " + ".join(f"contains(t, '{p}')::int" for p in pairs) + f")::double / {len(pairs)}" if pairs else "0.0"
+    return (
+        f"(with d as (select distinct t, edit from ({texts}) where t <> ''), "
+        f"s as (select t, edit, i, k, substr(t, i, k) as w from d, range(1, length(t) + 1) as a(i), range({max(1, n - budget)}, {5 * n + 3}) as b(k) where not contains(t, '{q}') and i + k - 1 <= length(t)), "
+        f"e as (select t, edit, min(case when k <= {n + budget} then levenshtein('{q}', w) end) as edits, min(case when {holds} then k end) as win from s group by t, edit) "
+        f"select d.t, d.edit, case when d.t = '{q}' then 1.0::double when contains(d.t, '{q}') then least(0.99, 0.84 + 0.12 * {n} / length(d.t) + case when starts_with(d.t, '{q}') then 0.03 else 0 end)::double else greatest("
+        f"case when d.edit and {budget} > 0 and length(d.t) <= 80 and {n} <= 24 and length(d.t) >= {max(1, n - budget)} and edits between 1 and {budget} then 0.78 * (1 - edits::double / {n}) else 0 end, "
+        f"case when {n} >= 4 and {share.replace('contains(t,', 'contains(d.t,')} >= 0.67 then 0.40 + 0.28 * {share.replace('contains(t,', 'contains(d.t,')} else 0 end, "
+        f"case when {n} >= 2 and win <= {3 * n + 1} then least(0.74, 0.36 + 0.42 * {n}::double / win) when {n} >= 2 and win <= {5 * n + 2} then 0.30 * {n}::double / win else 0 end)::double end as score "
+        "from d left join e on d.t = e.t and d.edit = e.edit)")
+
+
+def _verdict_sql(q: str) -> str:
+    """SQL: (rec_no, score, exact, partial) of each record against the normalised term ``q``."""
+    f = {x: _norm_sql(f"coalesce({x}, '')") for x in ("name_zh", "name_en", "category", "description", "official_url")}
+    url = f" union all select rec_no, {f['official_url']} as t, false as edit, 0.45 as weight, 0 as name from kb_records" if len(q.encode()) >= 12 else ""
+    texts = (f"select rec_no, {f['name_zh']} as t, true as edit, 1.0 as weight, 1 as name from kb_records union all select rec_no, {f['name_en']}, true, 0.96, 1 from kb_records "
+             f"union all select rec_no, {_norm_sql('a')}, true, 1.0, 1 from (select rec_no, unnest(aliases) as a from kb_records) where a is not null union all select rec_no, {f['category']}, false, 0.6, 0 from kb_records "
+             f"union all select rec_no, {f['description']}, false, 0.7, 2 from kb_records{url}")
+    return (f"(select f.rec_no, least(1.0, max(f.weight::double * coalesce(s.score, 0))) as score, coalesce(bool_or(f.name = 1 and f.t = '{q}'), false) as exact, coalesce(bool_or(f.name > 0 and contains(f.t, '{q}')), false) as partial "
+            f"from ({texts}) f left join {_score_sql(q, 'select t, edit from (' + texts + ')')} s on s.t = f.t and s.edit = f.edit group by f.rec_no)")
+
+
+def _search_sql(terms: list[tuple[str, bool]], keep: str = "true", where: str = "true", limit: int = 10) -> str:
+    """SQL of a search by normalised terms, each with whether it is a stop word."""
+    joins = " ".join(f"join {_verdict_sql(q)} v{i} on v{i}.rec_no = k.rec_no" for i, (q, _) in enumerate(terms))
+    content = [i for i, x in enumerate(terms) if not x[1]] or list(range(len(terms)))
+    stops = [i for i, x in enumerate(terms) if x[1]] if len(content) != len(terms) else []
+    hit = lambda i: f"(v{i}.score >= {knowledge.HIT})"
+    hits = " + ".join(f"{hit(i)}::int" for i in content)
+    top = f"greatest({', '.join(f'v{i}.score' for i in content)})" if len(content) > 1 else f"v{content[0]}.score"
+    total = top if len(content) == 1 else f"case when ({hits}) = 0 then {top} else greatest({knowledge.HIT}, 0.62 * ({hits}) / {len(content)}.0::double + 0.38 * {top}) end"
+    if stops:
+        bonus = "(" + " + ".join(f"{hit(i)}::int" for i in stops) + f") * (0.02 / {len(stops)})"
+        total = f"case when ({hits}) > 0 then least(1.0, {total} + {bonus}) else {total} end"
+    some = lambda test: "(" + " or ".join(f"({hit(i)} and {test.replace('V', f'v{i}')})" for i in content) + ")"
+    ex, part, fz = some("V.exact"), some("not V.exact and V.partial"), some("not V.exact and not V.partial")
+    match = f"case when {ex} and not {part} and not {fz} then 'exact' when {ex} or {part} then 'partial' when {fz} then 'fuzzy' else 'none' end"
+    popular = "case when popularity_bucket between 1 and 1000 then 3 when popularity_bucket <= 5000 then 2 when popularity_bucket <= 10000 then 1 else 0 end"
+    return (f"select rec_no, id, name_zh, score, match from (select k.*, round(least(1.0, {total}) * 1000) / 1000 as score, {match} as match from kb_records k {joins} where {keep}) "
+            f"where score >= {knowledge.HIT} and {where} order by score desc, {popular} desc, length(name_zh) nulls last, id, rec_no limit {limit}")
+
+
+@query(_search_sql([("儲蓄銀行", False), ("savings", False), ("官網", True)], limit=50))
+def kb_search(s, d):
+    found = knowledge.search(t(s, d, "kb_records"), "儲蓄銀行 Savings 官網", limit=50)
+    return found.select("rec_no", "id", "name_zh", "score", "match")
+
+
+@query(_search_sql([("water", False), ("company", False)], keep="k.kind = 'org'", where="category = 'utilities'", limit=20))
+def kb_search_kind(s, d):
+    return knowledge.search(t(s, d, "kb_records"), "water company", kind="org", category="utilities", limit=20).select("rec_no", "id", "name_zh", "score", "match")
+
+
+@query(_search_sql([("圖館", False)], limit=30))
+def kb_search_window(s, d):
+    """A short term that stands in names with other letters between."""
+    return knowledge.search(t(s, d, "kb_records"), "圖館", limit=30).select("rec_no", "id", "name_zh", "score", "match")
+
+
+@query(_search_sql([("hospitla", False)], limit=30))
+def kb_search_typo(s, d):
+    """A term with an edit, with substring candidates first: there are none, so all rows are scored."""
+    return knowledge.search(t(s, d, "kb_records"), "hospitla", limit=30, narrow=True).select("rec_no", "id", "name_zh", "score", "match")
+
+
+@query(f"select id, greatest(p.score, v.score) as score from {_verdict_sql('postel')} p join {_verdict_sql('savice')} v using (rec_no) join kb_records k using (rec_no) where greatest(p.score, v.score) >= {knowledge.CLOSE} and greatest(p.score, v.score) < {knowledge.HIT} order by score desc, id, rec_no limit 3")
+def kb_near_misses(s, d):
+    return knowledge.near_misses(t(s, d, "kb_records"), "postel savice").select("id", "score")
+
+
+@query("select term_id, string_split(trim(lower(raw)), ' ') as terms from query_terms where regexp_full_match(raw, '[A-Za-z]+( [A-Za-z]+)*') and len(list_distinct(string_split(lower(raw), ' '))) = len(string_split(raw, ' ')) and not regexp_matches(lower(raw), 'website|homepage|official|url')")
+def kb_query_terms(s, d):
+    """The terms of logged plain queries."""
+    q = t(s, d, "query_terms").where(F.col("raw").rlike("^[A-Za-z]+( [A-Za-z]+)*$") & ~F.lower("raw").rlike("website|homepage|official|url"))
+    got = q.select("term_id", knowledge.terms_of(F.col("raw")).alias("terms"), F.size(F.split("raw", " ")).alias("n"))
+    return got.where(F.size("terms") == F.col("n")).select("term_id", "terms")
+
+
+@query("with a as (select id, name_en, right(name_zh, 2) as alias from kb_records where length(name_zh) > 2), h as (select id as symbol, alias, name_en as name, row_number() over (partition by id order by lower(alias) = '哪家銀行有診所' desc, length(alias) desc, alias) as n "
+       "from a where lower(alias) = '哪家銀行有診所' or (regexp_matches(alias, '\\p{Han}') and contains('哪家銀行有診所', lower(alias)))) select symbol, alias from h where n = 1")
+def alias_lookup(s, d):
+    """Han aliases that a query holds, one for each symbol."""
+    k = t(s, d, "kb_records").where(F.length("name_zh") > 2).select(F.col("id").alias("symbol"), F.col("name_en").alias("name"), F.right("name_zh", F.lit(2)).alias("alias"))
+    return series.named(k, "哪家銀行有診所").select("symbol", "alias")
+
+
+@query("select p_partkey as symbol, 'local' as origin from part where p_size > 48 union all select p_partkey, 'remote' from part where p_size <= 48 order by origin, symbol limit 25")
+def alias_union_remote(s, d):
+    """Local hits first, then remote ones that are not local."""
+    p = t(s, d, "part").select(F.col("p_partkey").alias("symbol"), "p_size")
+    return series.first_of([p.where("p_size > 48").withColumn("origin", F.lit("local")), p.withColumn("origin", F.lit("remote"))], "symbol").select("symbol", "origin")
+
+
+@query("select p_partkey, case p_partkey % 9 when 0 then 'n' || p_size || '.us' when 1 then '^spx' when 2 then 'x' || p_size || '.jp' when 3 then p_size || '.hk' when 4 then 'btcusd' when 5 then 'eurusd' when 6 then null when 7 then 'brk.b.us' else 'sap.de' end as symbol from part")
+def exchange_symbols(s, d):
+    z = F.col("p_size").cast("string")
+    shapes = [F.concat(F.lit("N"), z), F.lit("^GSPC"), F.concat(F.lit("X"), z, F.lit(".T")), F.concat(F.lit("00"), z, F.lit(".HK")), F.lit("BTC-USD"), F.lit("EURUSD=X"), F.concat(z, F.lit(".TW")), F.lit("BRK.B"), F.lit("SAP.F")]
+    return t(s, d, "part").select("p_partkey", series.exchange_symbol(F.element_at(F.array(*shapes), (F.col("p_partkey") % 9 + 1).cast("int"))).alias("symbol"))
+
+
+@query("select o_orderkey, (o_orderdate::date - 7) as d5, (o_orderdate::date - interval 3 month)::date as m3, (o_orderdate::date - interval 5 year)::date as y5, date_trunc('year', o_orderdate)::date as ytd, date '1970-01-01' as whole from orders")
+def range_starts(s, d):
+    day = F.to_date("o_orderdate")
+    return t(s, d, "orders").select("o_orderkey", *[series.range_start(day, n).alias(c) for n, c in (("5d", "d5"), ("3mo", "m3"), ("5y", "y5"), ("ytd", "ytd"), ("max", "whole"))])
+
+
+@query("select p_partkey, levenshtein(p_name, p_type) as edits from part")
+def edit_distances(s, d):
+    from ..functions.register import register
+
+    register(s)
+    return t(s, d, "part").select("p_partkey", F.call_function("edit_distance", F.col("p_name"), F.col("p_type")).alias("edits"))
+
+
 # ---------------------------------------------------------------- series
 
 def _bars(s, d):
@@ -185,17 +299,17 @@ def market_state(s, d):
     return t(s, d, "events").select("event_id", series.market_state(k, r(0, 40), r(30, 60), r(50, 80)).alias("state"))
 
 
-@query("select n_nationkey, ['TSM', 'N' || n_nationkey] as symbols from nation")
+@query("select p_partkey, ['TSM', 'N' || p_partkey] as symbols from part")
 def symbol_split(s, d):
-    return t(s, d, "nation").select("n_nationkey", series.symbols(F.concat(F.lit("tsm, n"), F.col("n_nationkey").cast("string"), F.lit(" ;TSM"))).alias("symbols"))
+    return t(s, d, "part").select("p_partkey", series.symbols(F.concat(F.lit("tsm, n"), F.col("p_partkey").cast("string"), F.lit(" ;TSM"))).alias("symbols"))
 
 
-@query("select n_nationkey, n_nationkey % 3 + 1 as bars, 1.5::double as close, 'SYM' || n_nationkey as symbol from nation")
+@query("select p_partkey, (p_partkey % 3 + 1)::int as bars, 1.5::double as close, 'SYM' || p_partkey as symbol from part")
 def price_json_scan(s, d):
-    bar = F.concat(F.lit('{"chart":{"result":[{"meta":{"symbol":"SYM'), F.col("n_nationkey").cast("string"), F.lit('"},"timestamp":['), F.array_join(F.transform(F.sequence(F.lit(0), F.col("n_nationkey") % 3), lambda i: (i * 86400).cast("string")), ","),
+    bar = F.concat(F.lit('{"chart":{"result":[{"meta":{"symbol":"SYM'), F.col("p_partkey").cast("string"), F.lit('"},"timestamp":['), F.array_join(F.transform(F.sequence(F.lit(0), F.col("p_partkey") % 3), lambda i: (i * 86400).cast("string")), ","),
                    F.lit('],"indicators":{"quote":[{"open":[1.0],"high":[2.0],"low":[0.5],"close":[1.5],"volume":[7]}]}}]}}'))
     p = feeds.price_json(bar)
-    return t(s, d, "nation").select("n_nationkey", F.size(p["bars"]).alias("bars"), F.get(p["bars"], 0)["close"].alias("close"), p["meta"]["symbol"].alias("symbol"))
+    return t(s, d, "part").select("p_partkey", F.size(p["bars"]).alias("bars"), F.get(p["bars"], 0)["close"].alias("close"), p["meta"]["symbol"].alias("symbol"))
 
 
 # ---------------------------------------------------------------- markets
@@ -224,6 +338,21 @@ def market_search(s, d):
     return markets.sort_events(markets.strict_else_all(_events(s, d), "blue third"), "volume").limit(20).select(F.col("event.id").alias("id"))
 
 
+@query("select p_partkey::varchar as event_id, p_name as event, 'a-' || p_partkey as market_id, 'First' as market, 'Yes' as outcome, round(p_size / 100.0 * 100 * 10) / 10 as pct, 12.5::double as volume, null::double as volume_24h, null::double as liquidity, null::varchar as end_date, false as closed from part "
+       "union all select p_partkey::varchar, p_name, 'c-' || p_partkey, 'Third', 'Yes', 40.0, 12.5, null, null, null, false from part")
+def market_table(s, d):
+    """The flat table of markets with all its columns."""
+    return markets.market_rows(_events(s, d)).drop("pos")
+
+
+@query("select p_partkey::varchar as id, p_name as title from part")
+def one_of_each_event(s, d):
+    """Events that came twice, once with a later title."""
+    e = _events(s, d)
+    later = e.select(F.col("event").withField("title", F.lit("~ later")).alias("event"))
+    return markets.one_of_each(e.union(later), "event.title").select(F.col("event.id").alias("id"), F.col("event.title").alias("title"))
+
+
 @query("select event_type, round(arg_max(p, date) * 1000) / 10 as last_close, max(round(p * 1000) / 10) as high from (select event_type, strftime(ts, '%Y-%m-%d') as date, round(avg(json_extract_string(props, '$.k')::int) * 10) / 1000 as p from events group by 1, 2) group by event_type")
 def probability_series(s, d):
     k = F.get_json_object("props", "$.k").try_cast("int")

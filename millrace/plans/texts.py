@@ -44,6 +44,15 @@ def doc_sections(s, d):
     return documents.sections(t(s, d, "fetched_docs")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("sections"))
 
 
+@query(_LINES + "select doc_id, trim(rtrim(trim(regexp_replace(raw, '^\\s*#{1,6} ', '')), '#')) as heading, line::int as line from f where open and regexp_matches(raw, '^\\s*#{1,6} .*[^#\\s]')")
+def outline_headings(s, d):
+    """The headings of all pages with their lines, from the outline."""
+    docs = t(s, d, "fetched_docs")
+    rows = documents.sections(docs).where("level > 0").select("doc_id", F.regexp_replace("heading", r" \(part \d+/\d+\)$", "").alias("heading"), "start", "text", F.regexp_extract("heading", r"\(part (\d+)/\d+\)$", 1).alias("part"))
+    heads = rows.where("part in ('', '1')").join(docs.select("doc_id", "body"), "doc_id")
+    return heads.select("doc_id", "heading", (F.length(F.substring("body", F.lit(1), F.col("start").cast("int"))) - F.length(F.replace(F.substring("body", F.lit(1), F.col("start").cast("int")), F.lit("\n"), F.lit(""))) + 1).cast("int").alias("line"))
+
+
 @query("select doc_id, length(body)::bigint as chars from fetched_docs where length(body) > 0")
 def sections_lossless(s, d):
     return documents.sections(t(s, d, "fetched_docs"), most=400).groupBy("doc_id").agg(F.max(F.col("start") + F.col("chars")).alias("chars"))
@@ -71,10 +80,15 @@ def citation_counts(s, d):
     return t(s, d, "fetched_docs").where("body is not null").select("doc_id", tx.citations(F.col("body"))["inline"].alias("inline"), F.size(tx.urls(F.col("body"))).cast("bigint").alias("urls"))
 
 
-@query("select doc_id, case when length(x) <= 80 then x end as short, length(x)::bigint as n from (select doc_id, trim(regexp_replace(text, '[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')) as x from documents where text is not null)")
+_SPACE = "[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+
+
+@query(f"with x as (select doc_id, trim(regexp_replace(text, '{_SPACE}+', ' ', 'g')) as x from documents where text is not null), "
+       "h as (select doc_id, x, substr(x, 1, 80) as h, 80 - instr(reverse(substr(x, 1, 80)), ' ') as cut from x) "
+       "select doc_id, case when length(x) <= 80 then x else regexp_replace(case when contains(h, ' ') and cut > 53 then substr(h, 1, cut) else h end, '[,.;: ]+$', '') || '…' end as short, length(x)::bigint as n from h")
 def collapsed_text(s, d):
-    x = tx.collapse(F.col("text"))
-    return t(s, d, "documents").where("text is not null").select("doc_id", F.when(F.length(x) <= 80, tx.snippet(F.col("text"), 80)).alias("short"), F.length(x).cast("bigint").alias("n"))
+    """White space collapsed, and cut at a space in the last third."""
+    return t(s, d, "documents").where("text is not null").select("doc_id", tx.snippet(F.col("text"), 80).alias("short"), F.length(tx.collapse(F.col("text"))).cast("bigint").alias("n"))
 
 
 @query("select doc_id, case when regexp_matches(url, '^https?://') then regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\\.', '') || regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') "
@@ -96,9 +110,10 @@ def dedupe_first_wins(s, d):
     return t(s, d, "documents").where("text is not null").groupBy(F.xxhash64("text"), F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
-@query("select doc_id, count(distinct u)::bigint as links from (select doc_id, unnest(regexp_extract_all(body, '\\[[^\\]]*\\]\\((https?://[^)\\s]+)\\)', 1)) as u from fetched_docs) group by doc_id")
+@query(_LINES + ", k as (select doc_id, line, unnest(regexp_extract_all(raw, '\\[([^\\]]*)\\]\\((https?://[^)\\s]+)\\)', 2)) as url from f where open) select doc_id, url, min(line)::int as line from k group by doc_id, url")
 def extract_links(s, d):
-    return extraction.extract(t(s, d, "fetched_docs"), "links").groupBy(F.substring("doc", 5, 20).cast("bigint").alias("doc_id")).agg(F.count(F.lit(1)).alias("links"))
+    """Every link of every page with the line where it first stands."""
+    return extraction.extract(t(s, d, "fetched_docs"), "links").select(F.substring("doc", 5, 20).cast("bigint").alias("doc_id"), "url", "line")
 
 
 def _of_part(s, d, body):
@@ -121,14 +136,79 @@ def extract_dates(s, d):
     return extraction.extract(docs, "dates").select(_doc(), "date", "precision")
 
 
-@query("select n_nationkey::bigint as doc_id, 'Maria Lopez' as name, 'CEO' as role, 'Unit' || chr(65 + n_nationkey) || ' Corp' as org, 0.8::double as confidence from nation "
-       "union all select n_nationkey::bigint, 'Jan van Dyk', 'director of Research', null, 0.6::double from nation union all select n_nationkey::bigint, '王小明', '董事長', null, 0.5::double from nation")
+_SWAPPED = "day(o_orderdate) <= 12 and day(o_orderdate) <> month(o_orderdate)"
+
+
+@query(f"select o_orderkey as doc_id, strftime(o_orderdate, '%Y-%m-%d') as date, {_SWAPPED} as ambiguous, month(o_orderdate) || '/' || day(o_orderdate) || '/' || year(o_orderdate) as raw from orders union all "
+       "select o_orderkey, case when day(o_orderdate) > 12 then strftime(o_orderdate, '%Y-%m-%d') else strftime(o_orderdate, '%Y-%d-%m') end, "
+       f"{_SWAPPED}, day(o_orderdate) || '/' || month(o_orderdate) || '/' || year(o_orderdate) from orders where day(o_orderdate) <> month(o_orderdate)")
+def extract_dates_in_digits(s, d):
+    """Month first, unless that is no month; dates that could be read both ways are marked."""
+    m, day, y = (f(F.col("o_orderdate")).cast("string") for f in (F.month, F.dayofmonth, F.year))
+    body = F.concat(F.lit("Due "), m, F.lit("/"), day, F.lit("/"), y, F.lit(", paid "), day, F.lit("/"), m, F.lit("/"), y, F.lit(" (version 1.2.3, 31/02/2026)"))
+    docs = t(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), body.alias("body"), F.lit(None).cast("string").alias("url"))
+    return extraction.extract(docs, "dates").select(_doc(), "date", "ambiguous", "raw")
+
+
+_FIRST, _LAST = "['Ana','Ben','Carla','Dirk','Elsa','Finn','Gita']", "['Moser','Novak','Ortega','Peters','Quist','Rossi','Sato','Tamm','Ueda','Vogel','Weber']"
+_WHO = f"{_FIRST}[c_custkey % 7 + 1] || ' ' || {_LAST}[c_custkey % 11 + 1]"
+
+
+@query(f"with c as (select c_custkey as doc_id, c_custkey % 5 as k, {_WHO} as who, 'Unit' || chr(65 + (c_custkey % 26)::int) || ' Corp' as org from customer) "
+       "select doc_id, who as name, ['CEO','founder and CEO','Chair','director of Research','Chief Data Officer'][k + 1] as role, case when k in (0, 1, 3) then org end as org, [0.8,0.9,0.6,0.8,0.7][k + 1]::double as confidence from c "
+       "union all select doc_id, '王小明', '董事長', null, 0.5 from c")
 def extract_people(s, d):
-    body = F.concat(F.lit("Yesterday Maria Lopez, CEO of Unit"), F.char(F.col("n_nationkey") + 65), F.lit(" Corp, spoke.\nJan van Dyk | director of Research\n董事長王小明表示同意"))
-    docs = t(s, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("doc_id"), body.alias("body"), F.lit(None).cast("string").alias("url"))
+    """One shape of five for each customer, and a Chinese one."""
+    pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("c_custkey") % n + 1).cast("int"))
+    who = F.concat(pick(["Ana", "Ben", "Carla", "Dirk", "Elsa", "Finn", "Gita"], 7), F.lit(" "), pick(["Moser", "Novak", "Ortega", "Peters", "Quist", "Rossi", "Sato", "Tamm", "Ueda", "Vogel", "Weber"], 11))
+    org, k = F.concat(F.lit("Unit"), F.char(F.col("c_custkey") % 26 + 65), F.lit(" Corp")), F.col("c_custkey") % 5
+    line = (F.when(k == 0, F.concat(F.lit("Yesterday "), who, F.lit(", CEO of "), org, F.lit(", spoke."))).when(k == 1, F.concat(who, F.lit(" is the founder and CEO of "), org, F.lit(".")))
+            .when(k == 2, F.concat(who, F.lit(" | Chair"))).when(k == 3, F.concat(who, F.lit(", director of Research at "), org)).otherwise(F.concat(F.lit("we met former Chief Data Officer "), who, F.lit(" there"))))
+    docs = t(s, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(line, F.lit("\n董事長王小明表示同意\nOur products ship in March.")).alias("body"), F.lit(None).cast("string").alias("url"))
     return extraction.extract(docs, "people").select(_doc(), "name", "role", "org", "confidence")
 
 
+_LONG = "repeat('word ', 30) || '$' || p_size || ' each ' || repeat('more ', 30)"
+
+
+@query(f"with x as (select p_partkey, {_LONG} as x, 150 as s, 150 + length('$' || p_size) as e from part) "
+       "select p_partkey as doc_id, '…' || trim(substr(x, s - (120 - (e - s)) // 2 + 1, 120)) || '…' as context, 1 as section from x")
+def extract_context(s, d):
+    """About 120 letters around a price in the middle of a long line."""
+    body = F.concat(F.repeat(F.lit("word "), 30), F.lit("$"), F.col("p_size").cast("string"), F.lit(" each "), F.repeat(F.lit("more "), 30))
+    return extraction.extract(_of_part(s, d, body), "prices").select(_doc(), "context", "section")
+
+
+@query("select p_partkey as doc_id, p_size::double as value, 2 as line from part where contains(lower(p_name), 'blue') union all select p_partkey, 7.0, 3 from part where contains(lower(p_name), 'blue') and p_size <> 7")
+def extract_keyword(s, d):
+    """Facts whose texts hold a keyword, after first-wins deduplication."""
+    body = F.concat(F.lit("€7 for all\nThe "), F.col("p_name"), F.lit(" costs $"), F.col("p_size").cast("string"), F.lit("\nAll "), F.col("p_name"), F.lit(" at $7"))
+    return extraction.extract(_of_part(s, d, body), "prices", keyword="BLUE").select(_doc(), "value", "line")
+
+
+@query("select p_partkey as doc_id, case p_partkey when 7 then 1 when 3 then 2 else 3 end as source_no, p_size::double as value from part where p_partkey in (3, 7, 11)")
+def extract_sources(s, d):
+    """Facts of named documents, in the order of naming; names that differ in case only count once."""
+    body = F.concat(F.lit("$"), F.col("p_size").cast("string"))
+    return extraction.extract_from(_of_part(s, d, body), ["doc:7, DOC:3", "Doc:7,doc:11,doc:-5"], "prices").select(_doc(), "source_no", "value")
+
+
+@query("select p_partkey as doc_id, 'Sizes' as title, p_size::varchar as cell, 3 as line from part union all select p_partkey, p_name, p_brand, 1 from part")
+def extract_html_tables(s, d):
+    """HTML tables left in a body; the document's title heads a table above the first heading; equal tables count once."""
+    html = lambda a, b: F.concat(F.lit("<table><tr><th>Key<th>Value<tr><td>"), a, F.lit("<td>"), b, F.lit("</table>"))
+    body = F.concat(html(F.lit("brand"), F.col("p_brand")), F.lit("\n## Sizes\n"), html(F.lit("size"), F.col("p_size").cast("string")), F.lit("\n"), html(F.lit("size"), F.col("p_size").cast("string")), F.lit("\n```\n"), html(F.lit("no"), F.lit("no")), F.lit("\n```\n<table><tr><td>"))
+    docs = _of_part(s, d, body).join(t(s, d, "part").select(F.col("p_partkey").alias("doc_id"), "p_name"), "doc_id")
+    return extraction.extract(docs, "tables", title="p_name").select(_doc(), "title", F.col("rows")[0][1].alias("cell"), "line")
+
+
+@query("select p_partkey as doc_id, unnest(['prices', 'dates', 'emails', 'numbers']) as kind, unnest([1, 1, 1, 2])::bigint as facts from part")
+def extract_all_kinds(s, d):
+    """All kinds in one pass over the documents."""
+    body = F.concat(F.lit("$"), F.col("p_size").cast("string"), F.lit(" on 2024-05-06 to a@b.test, 5 GB, "), F.col("p_partkey").cast("string"), F.lit(" users"))
+    return extraction.extract_all(_of_part(s, d, body)).groupBy(_doc(), "kind").agg(F.count(F.lit(1)).alias("facts"))
+
+
 @query("select p_partkey as doc_id, p_size::double as value, '%' as unit from part union all select p_partkey, p_partkey * 1e6, 'users' from part union all select p_partkey, p_size::double, 'hours' from part")
 def extract_numbers(s, d):
     body = F.concat(F.lit("Usage rose "), F.col("p_size").cast("string"), F.lit("% to "), F.col("p_partkey").cast("string"), F.lit(" million users (model H100) in "), F.col("p_size").cast("string"), F.lit(" hrs, 7 of them late"))
@@ -171,15 +251,28 @@ for _kind in ("prices", "dates", "people", "numbers", "emails", "tables"):
     query()(_of_pages(_kind))
 
 
-@query("select n_nationkey, '# ' || n_name || chr(10) || chr(10) || 'Go [here](https://site.example/d/p%20' || n_nationkey || ') now.' || chr(10) || chr(10) || '* one' || chr(10) || '* two' || chr(10) || chr(10) "
-       "|| '| A | B |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_name || ' | x\\|y |' || chr(10) as md, n_name || ' & Co' as title from nation")
+@query("select p_partkey, '# ' || p_name || chr(10) || chr(10) || 'Go [here](https://site.example/d/p%20' || p_partkey || ') now.' || chr(10) || chr(10) || '* one' || chr(10) || '* two' || chr(10) || chr(10) "
+       "|| '| A | B |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_name || ' | x\\|y |' || chr(10) as md, p_name || ' & Co' as title from part")
 def html_markdown(s, d):
     page = F.concat(
-        F.lit("<html><head><title>"), F.col("n_name"), F.lit(" &amp; Co</title><style>p{}</style></head><body><nav><a href='/n'>Menu</a></nav><h1>"), F.col("n_name"),
-        F.lit("</h1><p>Go <a href='p "), F.col("n_nationkey").cast("string"), F.lit("'>here</a> now.<ul><li>one<li>two</ul><table><tr><th>A<th>B<tr><td>"), F.col("n_name"),
+        F.lit("<html><head><title>"), F.col("p_name"), F.lit(" &amp; Co</title><style>p{}</style></head><body><nav><a href='/n'>Menu</a></nav><h1>"), F.col("p_name"),
+        F.lit("</h1><p>Go <a href='p "), F.col("p_partkey").cast("string"), F.lit("'>here</a> now.<ul><li>one<li>two</ul><table><tr><th>A<th>B<tr><td>"), F.col("p_name"),
         F.lit("<td>x|y</table><img src=i.png><script>var a = '</p>'</script><footer>end</footer>"))
-    n = t(s, d, "nation")
-    return n.select("n_nationkey", page_html.markdown(page, F.lit("https://site.example/d/")).alias("md"), tx.page_title(page).alias("title"))
+    n = t(s, d, "part")
+    return n.select("p_partkey", page_html.markdown(page, F.lit("https://site.example/d/")).alias("md"), tx.page_title(page).alias("title"))
+
+
+@query("select p_partkey, p_name || ' is <b> & ' || p_type as plain from part")
+def stripped_tags(s, d):
+    x = F.concat(F.lit("<p class='a'>"), F.col("p_name"), F.lit("</p>\n<script>var x = '<b>';</script> is &lt;b&gt; &amp; <i>"), F.col("p_type"), F.lit("</i><style>p{}</style>"))
+    return t(s, d, "part").select("p_partkey", tx.strip_tags(x).alias("plain"))
+
+
+@query("select p_partkey, 'a%20' || replace(p_brand, '#', '%23') || '%2F%C3%A7~-_.%2A%2B' as coded, 'a ' || p_brand || '/ç+%zz' as plain from part")
+def percent_texts(s, d):
+    x = F.concat(F.lit("a "), F.col("p_brand"), F.lit("/ç~-_.*+"))
+    back = F.concat(tx.percent_decode(F.concat(F.lit("a%20"), F.replace("p_brand", F.lit("#"), F.lit("%23")), F.lit("%2F%C3%A7+"))), tx.percent_decode(F.lit("%zz")))
+    return t(s, d, "part").select("p_partkey", tx.percent_encode(x).alias("coded"), back.alias("plain"))
 
 
 @query("select site, regexp_extract(site, '([^.]+\\.[^.]+)$', 1) as domain from sites")
@@ -245,22 +338,22 @@ def kb_normalize(s, d):
     return k.select("name", knowledge.normalize(F.col("name")).alias("norm"))
 
 
-@query("select 'c' || n_nationkey as code, n_name as title, 'About ' || n_name as description, 2 as links from nation where n_nationkey % 5 <> 0")
+@query("select 'c' || p_partkey as code, p_name as title, 'About ' || p_name as description, 2 as links from part where p_partkey % 5 <> 0")
 def service_import(s, d):
-    k = F.col("n_nationkey").cast("string")
-    one = F.concat(F.lit('{"code":"c'), k, F.lit('","name":"-","title":"'), F.col("n_name"), F.lit('","text":" About  '), F.col("n_name"), F.lit('","page":"https://a.test/'), k, F.lit('","form":"'), F.when(F.col("n_nationkey") % 5 == 0, "").otherwise("https://a.test/f"),
+    k = F.col("p_partkey").cast("string")
+    one = F.concat(F.lit('{"code":"c'), k, F.lit('","name":"-","title":"'), F.col("p_name"), F.lit('","text":" About  '), F.col("p_name"), F.lit('","page":"https://a.test/'), k, F.lit('","form":"'), F.when(F.col("p_partkey") % 5 == 0, "").otherwise("https://a.test/f"),
                    F.lit('","mail":"https://a.test/f"}'))
-    rows = t(s, d, "nation").select(F.concat(F.lit("["), F.when(F.col("n_nationkey") % 5 == 0, F.lit('{"title":"no code","page":"https://a.test"}')).otherwise(one), F.lit("]")).alias("raw"))
+    rows = t(s, d, "part").select(F.concat(F.lit("["), F.when(F.col("p_partkey") % 5 == 0, F.lit('{"title":"no code","page":"https://a.test"}')).otherwise(one), F.lit("]")).alias("raw"))
     made = imports.services(rows, {"code": ["code"], "title": ["name", "title"], "description": ["none", "text"]}, [("page", "Page", ["page"]), ("form", "Form", ["form"]), ("email", "Mail", ["mail"])])
     return made.select("code", "title", "description", F.size("service_urls").alias("links"))
 
 
-@query("select n_nationkey, n_name as title, 'https://site.test/' || n_nationkey as url, 'text' as snippet from nation")
+@query("select p_partkey, p_name as title, 'https://site.test/' || p_partkey as url, 'text' as snippet from part")
 def result_page_hits(s, d):
-    k = F.col("n_nationkey").cast("string")
-    page = F.concat(F.lit("<div class='hit ad'><h2><a href='https://ad.test'>ad</a></h2></div><div class='hit'><h2><a href='//r.test/l?u=https%3A%2F%2Fsite.test%2F"), k, F.lit("'>"), F.col("n_name"), F.lit("</a></h2><p class='note-2'>text</p></div><div class='hit'>none</div>"))
+    k = F.col("p_partkey").cast("string")
+    page = F.concat(F.lit("<div class='hit ad'><h2><a href='https://ad.test'>ad</a></h2></div><div class='hit'><h2><a href='//r.test/l?u=https%3A%2F%2Fsite.test%2F"), k, F.lit("'>"), F.col("p_name"), F.lit("</a></h2><p class='note-2'>text</p></div><div class='hit'>none</div>"))
     hits = imports.result_hits(page, block="hit", link="h2", note="note", skip="ad")
-    return t(s, d, "nation").select("n_nationkey", F.inline(hits))
+    return t(s, d, "part").select("p_partkey", F.inline(hits))
 
 
 @query("select row_number() over (order by min(doc_id))::int as number, 'https://' || site || '/' as url, site as title, count(*) as notes from documents where trim(site) <> '' group by site")

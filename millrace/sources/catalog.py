@@ -20,7 +20,7 @@ class Catalog:
     """A folder that all executors share."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, Path(root)
+        self.spark, self.root = spark, Path(root.removeprefix("file://").removeprefix("file:"))
         self.root.mkdir(parents=True, exist_ok=True)
 
     def _entries(self) -> list[dict]:

@@ -8,12 +8,13 @@ import tomllib
 from urllib.parse import parse_qs, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import collapse, snippet
 from ..functions.urls import host, normalize_url
+from ..operators.joins import numbered
 from .html import _Node, _Tree
 
 #: Letters of a description that are kept, and links of a service.
@@ -141,9 +142,7 @@ def numbered_sources(notes: DataFrame, docs: DataFrame) -> DataFrame:
     n = notes.where("trim(source) <> ''").join(d, F.lower(F.trim("source")) == F.col("__h"), "left").withColumn("url", F.coalesce("__u", F.trim("source")))
     each = n.groupBy(normalize_url(F.col("url")).alias("key")).agg(F.min(F.struct("id", "url"))["url"].alias("url"), F.min("id").alias("first"), F.count(F.lit(1)).alias("notes"))
     titles = docs.where("trim(title) <> ''").groupBy(normalize_url(F.col("url")).alias("key")).agg(F.min(F.struct("doc_id", "title"))["title"].alias("__t"))
-    # one row for each distinct source of one person's notes: a list that is shown, ranked in one place
-    w = Window.orderBy("first", "key")
-    return each.join(titles, "key", "left").select(F.row_number().over(w).alias("number"), "url", F.coalesce("__t", host(F.col("url")), "url").alias("title"), "notes")
+    return numbered(each.join(titles, "key", "left"), "first", "key").select(F.col("number").cast("int").alias("number"), "url", F.coalesce("__t", host(F.col("url")), "url").alias("title"), "notes")
 
 
 def clock(zone: str = "UTC", at: Column | None = None) -> list[Column]:

@@ -1,8 +1,9 @@
 """Tables from files: delimited text, JSON, Markdown; by extension, else by the first letter.
 
-A file of up to ``DRIVER_BYTES`` is read exactly (ragged rows, repeated headers, nested JSON) and gets
-``_ord``, the row number in the file. Larger files go through Spark's own distributed readers, all
-columns as text, with the header cleaned the same way.
+A path may name many files. Each file is parsed exactly (ragged rows, repeated headers, nested JSON) and its rows
+get ``_ord``, the row number in the file: on the driver if all files together have at most ``DRIVER_BYTES``,
+else file by file in the tasks, with the same result. The columns are those of all files, in order of file names;
+cells are texts. A file must fit one task (2 GB).
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import csv
 import io
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,8 @@ from ..functions.names import clean_headers
 from .pipes import find_tables, squared
 
 DRIVER_BYTES = 64 << 20
+#: Different headers that the files of one table may have.
+MOST_HEADERS = 1000
 ORD = "_ord"
 
 
@@ -110,24 +114,49 @@ def parse(text: str, name: str = "") -> tuple[list[str], list[list]]:
     return parse_delimited(text)
 
 
+def read_table(spark: SparkSession, path: str, driver_bytes: int = DRIVER_BYTES) -> DataFrame:
+    """The table in a file or folder; see the module text."""
+    files = spark.read.format("binaryFile").load(path).where("length > 0")
+    size = files.agg(F.sum("length")).first()[0] or 0
+    if size <= driver_bytes:
+        read = [parse(bytes(r.content).decode("utf-8", "replace"), r.path) for r in files.select("path", "content").orderBy("path").collect()]  # bounded by driver_bytes
+        names = list(dict.fromkeys(c for columns, _ in read for c in columns))
+        rows = [(i, *map(dict(zip(columns, row)).get, names)) for columns, lines in read for i, row in enumerate(lines)]
+        return spark.createDataFrame(rows, _text_schema(names))
+
+    def columns_of(batches):
+        for b in batches:
+            heads = [(p, parse(c.decode("utf-8", "replace"), p)[0]) for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_pydict({"path": pa.array([h[0] for h in heads], pa.string()), "columns": pa.array([h[1] for h in heads], pa.list_(pa.string()))})
+
+    heads = files.select("path", "content").mapInArrow(columns_of, "path string, columns array<string>")
+    # one row for each kind of header, with the first file that has it
+    kinds = heads.groupBy("columns").agg(F.min("path").alias("path")).orderBy("path").limit(MOST_HEADERS + 1).collect()
+    if len(kinds) > MOST_HEADERS:
+        raise EngineError("bad_format", f"the files have more than {MOST_HEADERS} different headers")
+    names = list(dict.fromkeys(c for r in kinds for c in r.columns))
+
+    def rows_of(batches):
+        for b in batches:
+            for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                columns, lines = parse(c.decode("utf-8", "replace"), p)
+                at = {n: i for i, n in enumerate(columns)}
+                for first in range(0, len(lines), 20_000):
+                    part = lines[first : first + 20_000]
+                    made = {ORD: pa.array(range(first, first + len(part)), pa.int64())}
+                    made |= {n: pa.array([r[at[n]] if n in at else None for r in part], pa.string()) for n in names}
+                    yield pa.RecordBatch.from_pydict(made)
+
+    return files.select("path", "content").mapInArrow(rows_of, _text_schema(names))
+
+
 def frame(spark: SparkSession, columns: list[str], rows: list[list]) -> DataFrame:
     """A DataFrame of text columns and ``_ord``."""
-    schema = T.StructType([T.StructField(ORD, T.LongType()), *[T.StructField(c, T.StringType()) for c in columns]])
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], schema)
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], _text_schema(columns))
 
 
-def read_table(spark: SparkSession, path: str, driver_bytes: int = DRIVER_BYTES) -> DataFrame:
-    """The table in a file; see the module text."""
-    meta = spark.read.format("binaryFile").load(path).select("length").agg(F.sum("length")).first()[0] or 0
-    if meta <= driver_bytes:
-        text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())  # bounded by driver_bytes
-        return frame(spark, *parse(text, path))
-    ext = path.rpartition(".")[2].lower()
-    if ext == "json":
-        return spark.read.option("primitivesAsString", True).json(path)
-    first = spark.read.text(path).first().value
-    df = spark.read.csv(path, header=True, sep="\t" if ext == "tsv" else delimiter_of(first), quote='"', escape='"', multiLine=True, mode="FAILFAST", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    return df.toDF(*clean_headers(df.columns))
+def _text_schema(names: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(ORD, T.LongType()), *[T.StructField(c, T.StringType()) for c in names]])
 
 
 def read_pipe_tables(docs: DataFrame, id_col: str = "doc_id", body: str = "body") -> DataFrame:

@@ -96,7 +96,13 @@ def test_delimited_and_json(spark, tmp_path):
     p = tmp_path / "t.csv"
     p.write_text("Plan,Price\nA,$5\nB,n/a\n")
     assert [tuple(r) for r in tables.read_table(spark, str(p)).collect()] == [(0, "A", "$5"), (1, "B", "n/a")]
-    assert [tuple(r) for r in tables.read_table(spark, str(p), driver_bytes=0).collect()] == [("A", "$5"), ("B", "n/a")]
+    (tmp_path / "many").mkdir()
+    for name, text in (("a.csv", "Plan;Price\nA;$5;more\nB\n"), ("b.csv", "Seats,Plan\n3,\"x\ny\"\n"), ("c.json", '{"data": {"rows": [{"Plan": "J", "n": [1]}]}}')):
+        (tmp_path / "many" / name).write_text(text)
+    for at, size in ((str(p), 2), (str(tmp_path / "many"), 4)):
+        both = [sorted(map(str, tables.read_table(spark, at, driver_bytes=b).collect())) for b in (1 << 20, 0)]
+        assert both[0] == both[1] and len(both[0]) == size
+    assert tables.read_table(spark, str(tmp_path / "many"), 0).columns == ["_ord", "Plan", "Price", "column3", "Seats", "n"]
 
 
 @settings(max_examples=40, deadline=None)
