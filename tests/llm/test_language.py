@@ -65,3 +65,34 @@ def test_priors(spark):
     p = {r.site: r.prior for r in L.host_priors(df).collect()}
     ja, de = L.LANGS.index("ja"), L.LANGS.index("de")
     assert all(abs(sum(x) - 1) < 1e-9 for x in p.values()) and p["a.jp"][ja] > p["b.jp"][ja] > p["c.de"][ja] and p["c.de"][de] > p["b.jp"][de]
+
+
+def test_addresses_say_nothing(model):
+    flat = np.log(np.full(len(L.LANGS), 1 / len(L.LANGS)))
+    assert [g[0] for g in model.segments(f"{ZH} www.none.example/a?b=1&c=2", flat)] == ["zh"] and model.segments("https://der.die/das?und=nicht mail@das-haus.test", flat) == []
+
+
+def test_label_and_host_decide_short_texts(spark, model):
+    """Where a text says nothing its label decides, else its host; a clear text overrules both."""
+    df = spark.createDataFrame(
+        [(i, EN, "fr", "fr.example") for i in range(30)] + [(i, EN, "de", "de.example") for i in range(30, 60)] + [(100, "Qqxqz", "de", None), (101, "Qqxqz", None, "fr.example"), (102, "Qqxqz", None, None), (103, DE, "fr", "fr.example")], "doc_id long, text string, lang string, site string")
+    got = {r.doc_id: r for r in L.segments(df, model=model).collect()}
+    assert got[100].lang == "de" and got[101].lang == "fr" and got[103].lang == "de" and got[0].lang == "en"
+    assert got[102].confidence < got[101].confidence < 0.99 and got[103].confidence > 0.99
+
+
+def test_confidence_is_calibrated(model, sf):
+    """Pieces of one to three words of other documents: mean confidence near the share that is right."""
+    flat = np.log(np.full(len(L.LANGS), 1 / len(L.LANGS)))
+    other = ds.dataset(sf.replace("0.001", "0.01") + "/documents.parquet").to_table().to_pylist()
+    right, sure = [], []
+    for r in other:
+        whole = model.segments(r["text"] or "", flat)
+        if len(whole) != 1 or whole[0][0] in ("zh", "ja"):
+            continue
+        for n in (1, 2, 3):
+            got = model.segments(" ".join(r["text"].split()[1 : 1 + n]), flat)
+            if got:
+                right.append(got[0][0] == whole[0][0])
+                sure.append(got[0][1])
+    assert len(right) > 500 and abs(np.mean(right) - np.mean(sure)) < 0.08 and np.mean(np.array(sure)[~np.array(right)]) < np.mean(np.array(sure)[np.array(right)]) - 0.1
