@@ -75,7 +75,7 @@ def test_addresses_say_nothing(model):
 def test_label_and_host_decide_short_texts(spark, model):
     """Where a text says nothing its label decides, else its host; a clear text overrules both."""
     df = spark.createDataFrame(
-        [(i, EN, "fr", "fr.example") for i in range(30)] + [(i, EN, "de", "de.example") for i in range(30, 60)] + [(100, "Qqxqz", "de", None), (101, "Qqxqz", None, "fr.example"), (102, "Qqxqz", None, None), (103, DE, "fr", "fr.example")], "doc_id long, text string, lang string, site string")
+        [(i, EN, "fr", "fr.example") for i in range(30)] + [(i, EN, "de", "de.example") for i in range(30, 60)] + [(100, "Ωψξψξ", "de", None), (101, "Ωψξψξ", None, "fr.example"), (102, "Ωψξψξ", None, None), (103, DE, "fr", "fr.example")], "doc_id long, text string, lang string, site string")
     got = {r.doc_id: r for r in L.segments(df, model=model).collect()}
     assert got[100].lang == "de" and got[101].lang == "fr" and got[103].lang == "de" and got[0].lang == "en"
     assert got[102].confidence < got[101].confidence < 0.99 and got[103].confidence > 0.99
