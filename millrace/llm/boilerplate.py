@@ -285,18 +285,45 @@ def _fewer(words: list[int], r: np.random.Generator) -> list[int]:
     return kept or words
 
 
-def fit(bodies: list[str], rounds: int = 6, batch: int = 32, rate: float = 0.006, seed: int = 1, tell=None) -> Network:
-    """A network fitted on pages labelled with ``chrome_labels``; the same bodies give the same network."""
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}'’]*")
+_TARGET = regex.compile(r"(\]\([^)\s]*\))")
+
+
+def reworded(line: str, seed: int) -> str:
+    """The line with other letters in the place of its words, the same for the same word; marks, figures and targets of links stay."""
+
+    def other(m) -> str:
+        r = np.random.default_rng([seed, zlib.crc32(m[0].lower().encode("utf-8", "surrogatepass"))])
+        picks = r.integers(0, 1 << 30, len(m[0]))
+        made = [chr(0x4E00 + p % 0x2000) if "一" <= c <= "鿿" else chr(0x3042 + p % 80) if "぀" <= c <= "ヿ" else chr(97 + p % 26) for c, p in zip(m[0], picks.tolist())]
+        return "".join(x.upper() if c.isupper() else x for c, x in zip(m[0], made))
+
+    return "".join(x if i % 2 else _LETTERS.sub(other, x) for i, x in enumerate(_TARGET.split(line)))
+
+
+def _views(body: str, at: int) -> list[tuple[str, list[bool | None]]]:
+    """A page as it is; every third also without its furniture, or its lower half alone, as pages come stripped or cut; every second also
+    in words that no list has: all its lines, or only one kind, so that layout and context must tell."""
     from .chrome_labels import labels
 
+    lines = body.split("\n")
+    marks = labels(lines)
+    out = [(body, marks)]
+    if at % 3 == 0:
+        kept = [(x, m) for x, m in zip(lines, marks) if not m] if at % 2 else list(zip(lines, marks))[len(lines) // 2 :]
+        out.append(("\n".join(x for x, _ in kept), [m for _, m in kept]))
+    if at % 2 == 0:
+        which = ((True, False), (True,), (True, False), (False,))[at // 2 % 4]
+        out.append(("\n".join(reworded(x, at) if m in which else x for x, m in zip(lines, marks)), marks))
+    return out
+
+
+def fit(bodies: list[str], rounds: int = 6, batch: int = 32, rate: float = 0.006, seed: int = 1, tell=None) -> Network:
+    """A network fitted on pages labelled with ``chrome_labels``; the same bodies give the same network."""
     reader, net, r = Reader(), Network(seed=seed), np.random.default_rng(seed)
     data = []
     for at, body in enumerate(bodies[:SAMPLE_PAGES]):
-        views = [(body or "", labels((body or "").split("\n")))]
-        if at % 3 == 0:  # also without its furniture, or the lower half alone, as pages come stripped or cut
-            lines, marks = (body or "").split("\n"), views[0][1]
-            kept = [(x, m) for x, m in zip(lines, marks) if not m] if at % 2 else list(zip(lines, marks))[len(lines) // 2 :]
-            views.append(("\n".join(x for x, _ in kept), [m for _, m in kept]))
+        views = _views(body or "", at)
         for text, marks in views:
             numbers, tags, words = reader.page(text)
             if not numbers:

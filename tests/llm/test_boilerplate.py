@@ -69,3 +69,22 @@ def test_columns(spark):
     text = {r.doc_id: r.m for r in df.select("doc_id", B.main_body("body").alias("m")).collect()}
     assert text[1].startswith("# The market") and "Sponsored" not in text[1] and text[2] is None and text[3] == ""
     assert B.furniture_lines(df.limit(0)).count() == 0
+
+
+def test_wording_in_no_list(sf):
+    """Pages whose words are all replaced by made-up ones: layout and context alone must tell furniture from the main body."""
+    import pyarrow.dataset as ds
+
+    from millrace.llm.chrome_labels import labels
+
+    bodies = [b for b in ds.dataset(sf.replace("0.001", "0.01") + "/fetched_docs.parquet").to_table(columns=["body"])["body"].to_pylist() if b]
+    assert B.reworded("Menu [Home](/a/b) 5", 1) != "Menu [Home](/a/b) 5" and "](/a/b) 5" in B.reworded("Menu [Home](/a/b) 5", 1) and B.reworded("x X", 1).lower().split()[0] == B.reworded("x X", 1).lower().split()[1]
+    both = hit = told = 0
+    made = ["\n".join(B.reworded(x, 7_000 + i) for x in b.split("\n")) for i, b in enumerate(bodies)]
+    for body, (numbers, scores) in zip(bodies, B.furniture(made)):
+        marks = labels(body.split("\n"))
+        for n, p in zip(numbers, scores):
+            told += bool(marks[n - 1])
+            hit += p >= B.LIMIT
+            both += bool(marks[n - 1]) and p >= B.LIMIT
+    assert both / told > 0.98 and both / hit > 0.98
