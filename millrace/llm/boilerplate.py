@@ -302,7 +302,7 @@ def reworded(line: str, seed: int) -> str:
 
 
 def _views(body: str, at: int) -> list[tuple[str, list[bool | None]]]:
-    """A page as it is; every third also without its furniture, or its lower half alone, as pages come stripped or cut; every second also
+    """A page as it is; every third also without its furniture, or its lower half alone, as pages come stripped or cut; every third also
     in words that no list has: all its lines, or only one kind, so that layout and context must tell."""
     from .chrome_labels import labels
 
@@ -312,13 +312,13 @@ def _views(body: str, at: int) -> list[tuple[str, list[bool | None]]]:
     if at % 3 == 0:
         kept = [(x, m) for x, m in zip(lines, marks) if not m] if at % 2 else list(zip(lines, marks))[len(lines) // 2 :]
         out.append(("\n".join(x for x, _ in kept), [m for _, m in kept]))
-    if at % 2 == 0:
-        which = ((True, False), (True,), (True, False), (False,))[at // 2 % 4]
+    if at % 3 == 1:
+        which = ((True, False), (True,), (True, False), (False,))[at // 3 % 4]
         out.append(("\n".join(reworded(x, at) if m in which else x for x, m in zip(lines, marks)), marks))
     return out
 
 
-def fit(bodies: list[str], rounds: int = 6, batch: int = 32, rate: float = 0.006, seed: int = 1, tell=None) -> Network:
+def fit(bodies: list[str], rounds: int = 9, batch: int = 32, rate: float = 0.006, seed: int = 1, tell=None) -> Network:
     """A network fitted on pages labelled with ``chrome_labels``; the same bodies give the same network."""
     reader, net, r = Reader(), Network(seed=seed), np.random.default_rng(seed)
     data = []

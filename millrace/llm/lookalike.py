@@ -32,7 +32,7 @@ LOOKALIKES = {
     # Greek
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
     "Υ": "Y", "Χ": "X", "α": "a", "ο": "o", "ρ": "p", "ν": "v", "ι": "i", "υ": "u", "κ": "k", "ϲ": "c", "ϳ": "j", "τ": "t", "ε": "e",
-    # Latin variants, Armenian, Cherokee and Lisu forms in common use
+    # Latin variants and Armenian letters
     "ɡ": "g", "ɑ": "a", "ı": "i", "ʟ": "l", "ո": "n", "օ": "o", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "Օ": "O", "Տ": "S", "Լ": "L",
 }
 #: Characters that show nothing; with the format characters (Cf), tags and variation selectors.
