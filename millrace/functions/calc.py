@@ -138,6 +138,6 @@ def calc(text: str, columns: list[str] | None = None, on_error: str = "raise") -
 
 
 def shown(x: Column) -> Column:
-    """A result as text: whole numbers plain, else 12 decimals without trailing zeros."""
+    """A result as text: whole numbers plain, else 12 decimals without trailing zeros; null for null."""
     fine = F.regexp_replace(F.regexp_replace(F.format_string("%.12f", x), r"0+$", ""), r"\.$", "")
-    return F.when((x == F.floor(x)) & (F.abs(x) < 9e15), x.cast("bigint").cast("string")).otherwise(fine)
+    return F.when((x == F.floor(x)) & (F.abs(x) < 9e15), x.cast("bigint").cast("string")).when(x.isNotNull(), fine)

@@ -94,3 +94,11 @@ def target(text: str) -> tuple[str, str]:
         parts = [x for x in t.split("://", 1)[1].split("?")[0].split("#")[0].split("/")[1:] if x]
         t = parts[-1] if parts else ""
     return ("id", t) if t.isdigit() else ("slug", t.lower())
+
+
+def targets(text: Column) -> Column:
+    """struct<kind, target> as ``target`` gives them, as an expression; an address without a path names the empty slug."""
+    t = F.trim(text)
+    path = F.regexp_replace(F.regexp_replace(t, r"^.*?://", ""), r"[?#].*$", "")
+    last = F.when(t.contains("://"), F.regexp_extract(path, r"/([^/]+)/*$", 1)).otherwise(t)
+    return F.struct(F.when(last.rlike("^[0-9]+$"), "id").otherwise("slug").alias("kind"), F.lower(last).alias("target"))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import extraction
 from ..session import shared_folder
 from ..sources import catalog, feeds, html, imports, sinks
 from ..sources import pipes as pipe_text
@@ -165,3 +166,36 @@ def seed_scan(s, d):
 def shell_words(s, d):
     p = t(s, d, "part")
     return p.select("p_partkey", tx.shell_quote(F.when(F.col("p_partkey") % 2 == 0, F.concat("p_type", F.col("p_partkey").cast("string"))).otherwise(F.concat("p_name", F.lit(" it's")))).alias("word"))
+
+
+@query("select p_partkey as doc_id, p_size::double as value, 'USD' as currency from part")
+def extract_saved(s, d):
+    """All facts of a kind saved as a table and read by their handle."""
+    docs = t(s, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("It costs $"), F.col("p_size").cast("string")).alias("body"), F.lit(None).cast("string").alias("url"))
+    c = catalog.Catalog(s, _new(s, ""))
+    handle = c.save(extraction.extract(docs, "prices"), "prices from documents", "doc:0")
+    return c.load(handle).select(F.substring("doc", 5, 20).cast("bigint").alias("doc_id"), "value", "currency")
+
+
+@query("select n_nationkey::bigint as id, n_nationkey % 2 = 0 as added, true as kept from nation")
+def preview_and_apply(s, d):
+    """A change is shown as a diff first; the file changes when it is applied."""
+    base = shared_folder(s).removeprefix("file://").removeprefix("file:")
+    path, names = f"{base}/put-{uuid.uuid4().hex}.txt", [r.n_nationkey for r in t(s, d, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]  # 25 nations
+    sinks.put(path, "".join(f"line {n}\n" for n in names if n % 2), apply=True)
+    whole = "".join(f"line {n}\n" for n in names)
+    shown = sinks.put(path, whole)
+    before = open(path).read()
+    sinks.put(path, whole, apply=True)
+    rows = [(n, f"+line {n}\n" in shown, f"line {n}\n" in open(path).read() and (f"line {n}\n" in before) == bool(n % 2)) for n in names]
+    return s.createDataFrame(rows, "id bigint, added boolean, kept boolean")
+
+
+@query("select distinct source as source, 'https://' || source || '.test' as url from kb_records where source is not null")
+def attribution_file(s, d):
+    """Sources with their addresses, one line each however often they come."""
+    base = shared_folder(s).removeprefix("file://").removeprefix("file:")
+    path = f"{base}/attribution-{uuid.uuid4().hex}.tsv"
+    rows = [(r.source, "CC0", f"https://{r.source}.test") for r in t(s, d, "kb_records").where("source is not null").select("source").distinct().collect()]  # kb_sources names six
+    sinks.attribution(path, rows + rows)
+    return s.read.csv(f"file://{path}", sep="\t").toDF("source", "licence", "url").select("source", "url")

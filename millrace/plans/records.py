@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions.cells import round_half_away
+from ..functions.names import nearest
 from ..operators import knowledge, markets, series
 from ..sources import feeds
 from ..streaming import events as stream
@@ -248,6 +250,34 @@ def range_starts(s, d):
     return t(s, d, "orders").select("o_orderkey", *[series.range_start(day, n).alias(c) for n, c in (("5d", "d5"), ("3mo", "m3"), ("5y", "y5"), ("ytd", "ytd"), ("max", "whole"))])
 
 
+@query("select rec_no, id, name_en from kb_records where id = (select max(id) from kb_records)")
+def kb_point_lookup(s, d):
+    """All deliveries of one id; the id reaches the scan as a filter."""
+    k = t(s, d, "kb_records")
+    return k.where(F.col("id") == k.agg(F.max("id")).first()[0]).select("rec_no", "id", "name_en")
+
+
+@query("select doc_id, case when regexp_matches(x, '^[0-9]+$') then 'id' else 'slug' end as kind, lower(x) as target from (select doc_id, case when contains(url, '://') then regexp_extract(regexp_replace(url, '[?#].*$', ''), '://[^/]*/(?:.*/)?([^/]+)/*$', 1) else trim(url) end as x from fetched_docs where url is not null)")
+def market_targets(s, d):
+    """What an id, a slug or a page address names."""
+    made = markets.targets(F.col("url"))
+    return t(s, d, "fetched_docs").where("url is not null").select("doc_id", made["kind"].alias("kind"), made["target"].alias("target"))
+
+
+@query("with o as (select distinct p_type as o from part), t as (select p_partkey, substr(p_type, 1, 2) || substr(p_type, 4) as typed from part), c as (select p_partkey, o, case when contains(lower(o), lower(typed)) or contains(lower(typed), lower(o)) then 0 else levenshtein(lower(typed), lower(o)) end as far, greatest(2, greatest(length(typed), 3) // 2) as most from t, o) "
+       "select p_partkey, arg_min(o, (far, o)) as meant from c where far <= most group by p_partkey")
+def did_you_mean(s, d):
+    """The nearest of the known names for names with a letter left out."""
+    p = t(s, d, "part")
+    names = sorted(r.p_type for r in p.select("p_type").distinct().collect())  # types of parts, a fixed list
+
+    @F.arrow_udf("string")
+    def near(typed: pa.Array) -> pa.Array:
+        return pa.array([nearest(x, names) for x in typed.to_pylist()], pa.string())
+
+    return p.select("p_partkey", near(F.concat(F.substring("p_type", 1, 2), F.substring("p_type", 4, 99))).alias("meant")).where("meant is not null")
+
+
 @query("select p_partkey, levenshtein(p_name, p_type) as edits from part")
 def edit_distances(s, d):
     from ..functions.register import register

@@ -219,3 +219,11 @@ def set_operations(s, d):
     li = t(s, d, "lineitem")
     a, b = (li.where(F.col("l_returnflag") == x).select(F.col("l_partkey").alias("k")) for x in "RA")
     return a.intersect(b).subtract(t(s, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("k")))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, case when l_linenumber = 1 then null else round(l_quantity / (l_linenumber - 1) * 100) / 100 end as share, case when l_discount = 0 then null else regexp_replace(regexp_replace(printf('%.2f', round((l_extendedprice / l_discount) * 100) / 100), '0+$', ''), '[.]$', '') end as shown from lineitem")
+def calc_errors(s, d):
+    """Division by zero gives null where errors are asked to be null; results as they are displayed."""
+    df = t(s, d, "lineitem")
+    return df.select("l_orderkey", "l_linenumber", "l_partkey", calc_fn.calc("round(l_quantity / (l_linenumber - 1), 2)", df.columns, on_error="null").alias("share"),
+                     calc_fn.shown(calc_fn.calc("round(l_extendedprice / l_discount, 2)", df.columns, on_error="null")).alias("shown"))

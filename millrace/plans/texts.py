@@ -327,6 +327,29 @@ def report_rules(s, d):
     return reports.grades(docs, plain).select("doc_id", "score", "pass", "errors", "warnings", "words")
 
 
+#: Reports that break one rule each: (body before and after the name of a part, the rules they break).
+_SHAPES = [
+    ("# T\n\n## Summary\nAll of ", " is [here](https://a.test/x).\n\n## Sources\n- <https://a.test/x>\n", []),
+    ("# T\n\n# T2\n\n## Summary\nAll of ", " is [here](https://a.test/x).\n\n## Sources\n- <https://a.test/x>\n", ["multiple_h1"]),
+    ("# T\n\n## Summary\nlorem ipsum ", " is [here](https://a.test/x).\n\n## Sources\n- <https://a.test/x>\n", ["forbidden"]),
+    ("# T\n\n## Summary\nAll of ", " <!-- TODO: more --> is [here](https://a.test/x).\n\n## Sources\n- <https://a.test/x>\n", ["todo"]),
+    ("# T\n\n## Summary\nAll of ", " is here.\n\n## Sources\n- <https://a.test/x>\n", ["citation"]),
+    ("# T\n\n## Summary\nAll of ", " is [here](https://a.test/x).\n", ["sources_section"]),
+    ("# T\n\n## Other\nAll of ", " is [here](https://a.test/x).\n\n## Sources\n- <https://a.test/x>\n", ["missing_section", "extra_section"]),
+]
+_SHAPE_SQL = " union all ".join(f"select p_partkey as doc_id, '{r}' as rule from part where p_partkey % {len(_SHAPES)} = {i}" for i, x in enumerate(_SHAPES) for r in x[2])
+
+
+@query(_SHAPE_SQL)
+def report_issue_rules(s, d):
+    """The rules that reports break: each part's report breaks one or none."""
+    made = F.lit("")
+    for i, (before, after, _) in enumerate(_SHAPES):
+        made = F.when(F.col("p_partkey") % len(_SHAPES) == i, F.concat(F.lit(before), F.col("p_name"), F.lit(after))).otherwise(made)
+    plain = reports.template({"title_level": 1, "require_sources_section": True, "forbid": ["lorem ipsum"], "section": [{"heading": "Summary", "require_citation": True}]})
+    return reports.issues(_of_part(s, d, made), plain).select("doc_id", "rule")
+
+
 @query("select doc_id, regexp_matches(coalesce(text, ''), '[\\x{3040}-\\x{30FF}]') as kana from documents")
 def script_predicates(s, d):
     return t(s, d, "documents").select("doc_id", tx.has_kana(F.col("text")).alias("kana"))

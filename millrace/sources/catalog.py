@@ -2,12 +2,15 @@
 
 Saving a table that is already there (same source, columns and rows) gives its old handle: every
 manifest row keeps an order-independent fingerprint of the rows, and a match is verified by an anti-join
-both ways before it is used. A new version is written beside the old ones; nothing is changed in place.
+both ways before it is used. Rows are written to a folder of their own first; then the manifest row claims the next
+free number, which only one writer can get. Nothing is changed in place, and what a failed writer left is never read.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,20 +39,29 @@ class Catalog:
         mark, columns = self._fingerprint(df), df.columns
         for e in self._entries():
             if (e["mark"], e["columns"], e["source"]) == (mark, columns, source):
-                old = self.spark.read.parquet(str(self.root / f"tbl-{e['id']}"))
+                old = self.spark.read.parquet(str(self.root / e["folder"]))
                 if df.exceptAll(old).isEmpty() and old.exceptAll(df).isEmpty():
                     return f"tbl:{e['id']}"
+        folder = f"rows-{uuid.uuid4().hex}"
+        df.write.parquet(str(self.root / folder))
         new = max([e["id"] for e in self._entries()], default=0) + 1
-        df.write.parquet(str(self.root / f"tbl-{new}"))
-        entry = {"id": new, "title": title, "source": source, "columns": columns, "mark": mark}
-        (self.root / f"tbl-{new}.json").write_text(json.dumps(entry, ensure_ascii=False))
-        return f"tbl:{new}"
+        while True:
+            entry = {"id": new, "title": title, "source": source, "columns": columns, "mark": mark, "folder": folder}
+            draft = self.root / f"{folder}.json"
+            draft.write_text(json.dumps(entry, ensure_ascii=False))
+            try:
+                os.link(draft, self.root / f"tbl-{new}.json")  # fails if another writer has the number
+                return f"tbl:{new}"
+            except FileExistsError:
+                new += 1
+            finally:
+                draft.unlink()
 
     def load(self, handle: str) -> DataFrame:
         """The table of a handle (without case)."""
         kind, _, n = handle.strip().lower().partition(":")
-        path = self.root / f"tbl-{n}"
+        path = self.root / f"tbl-{n}.json"
         if kind != "tbl" or not path.exists():
             recent = ", ".join(f"tbl:{e['id']} {e['title']}".strip() for e in self._entries()[-5:][::-1])
             raise EngineError("not_found", f"no table `{handle}`", f"Recent tables: {recent}" if recent else "No table is saved yet")
-        return self.spark.read.parquet(str(path))
+        return self.spark.read.parquet(str(self.root / json.loads(path.read_text())["folder"]))

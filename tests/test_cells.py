@@ -74,4 +74,4 @@ def test_calc(spark):
     for bad in ("", "1 +", "2,000", "foo(1)", "1 2", "(1", "y + 1", "sqrt(1, 2)", "1 # 2"):
         with pytest.raises(EngineError):
             calc.calc(bad, df.columns)
-    assert [r[0] for r in spark.createDataFrame([(0.1 + 0.2,), (4.0,)], "x double").select(calc.shown(F.col("x"))).collect()] == ["0.3", "4"]
+    assert [r[0] for r in spark.createDataFrame([(0.1 + 0.2,), (4.0,), (None,)], "x double").select(calc.shown(F.col("x"))).collect()] == ["0.3", "4", None]
