@@ -433,6 +433,22 @@ def rule_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("severity", "rule").agg(F.count(F.lit(1)).alias("issues"))
 
 
+def place_notes(notes: DataFrame, t: Template, id_col: str = "id", tag: str = "tag") -> DataFrame:
+    """(id, place, heading): the section of a template that each note belongs to, by the rules of ``assign_notes``, as one
+    expression over the template's sections; notes that fit none are left out."""
+    tags = F.lower(F.coalesce(tag, F.lit("")))
+    at = F
+    for place, s in enumerate(t.sections, 1):
+        words = [k.lower() for k in [s.heading, *s.keywords] if k and "{" not in k]
+        fits = tags.rlike(r"^(?:item[-_ ]?)?\d+$") if s.number() else F.lit(False)
+        for w in words:
+            fits = fits | tags.startswith(w)
+        at = at.when(fits, F.struct(F.lit(place).alias("place"), F.lit(s.heading).alias("heading")))
+    if not t.sections:
+        return notes.limit(0).select(F.col(id_col).alias("id"), F.lit(0).alias("place"), F.lit("").alias("heading"))
+    return notes.select(F.col(id_col).alias("id"), at.alias("s")).where("s is not null").select("id", "s.place", "s.heading")
+
+
 def assign_notes(notes: list[dict], t: Template) -> dict[str, list[int]]:
     """Section heading -> ids of the notes that belong there: by number tags for numbered sections
     (``item-2``), else by keywords at the start of the tag; the first section wins. Driver side."""

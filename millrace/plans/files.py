@@ -199,3 +199,13 @@ def attribution_file(s, d):
     rows = [(r.source, "CC0", f"https://{r.source}.test") for r in t(s, d, "kb_records").where("source is not null").select("source").distinct().collect()]  # kb_sources names six
     sinks.attribution(path, rows + rows)
     return s.read.csv(f"file://{path}", sep="\t").toDF("source", "licence", "url").select("source", "url")
+
+
+@query("select 'error' as severity, 'rule ' || n_nationkey as rule, n_nationkey::int as line from nation where n_nationkey % 2 = 1 union all select 'warning', 'rule ' || n_nationkey, null from nation where n_nationkey % 2 = 0")
+def checklist_sink(s, d):
+    """Issues as a list to tick off, read back by a pattern."""
+    n = F.col("n_nationkey")
+    issues = t(s, d, "nation").select(F.when(n % 2 == 1, "error").otherwise("warning").alias("severity"), F.concat(F.lit("rule "), n.cast("string")).alias("rule"), F.when(n % 2 == 1, n.cast("int")).alias("line"), F.lit("mend it").alias("message"))
+    lines = s.createDataFrame([(x,) for x in sinks.checklist_text(issues).splitlines()], "x string")
+    part = lambda i: F.regexp_extract("x", r"^- \[ \] \*\*(\w+)\*\* (rule \d+)(?: \(line (\d+)\))?: mend it$", i)
+    return lines.select(part(1).alias("severity"), part(2).alias("rule"), part(3).try_cast("int").alias("line"))

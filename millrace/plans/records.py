@@ -250,6 +250,19 @@ def range_starts(s, d):
     return t(s, d, "orders").select("o_orderkey", *[series.range_start(day, n).alias(c) for n, c in (("5d", "d5"), ("3mo", "m3"), ("5y", "y5"), ("ytd", "ytd"), ("max", "whole"))])
 
 
+@query("select rec_no, translate(name_zh, '国图书馆电视银体会龙门', '國圖書館電視銀體會龍門') as name from kb_records")
+def traditional_names(s, d):
+    """Simplified letters by the caller's table."""
+    return t(s, d, "kb_records").select("rec_no", knowledge.to_traditional(F.col("name_zh"), "国图书馆电视银体会龙门", "國圖書館電視銀體會龍門").alias("name"))
+
+
+@query("select p_partkey, case p_partkey % 3 when 0 then 'A & ' || p_name when 1 then 'Shop' || p_size else 'Shop' || p_size end as name from part")
+def polished_names(s, d):
+    """Entities decoded; names that say nothing, or in kana, replaced by the brand of the domain."""
+    raw = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" A &amp;  "), F.col("p_name"), F.lit("\n"))).when(F.col("p_partkey") % 3 == 1, F.lit("ホーム")).otherwise(F.lit("Home"))
+    return t(s, d, "part").select("p_partkey", knowledge.polish_name(raw, F.concat(F.lit("shop"), F.col("p_size").cast("string"), F.lit(".example"))).alias("name"))
+
+
 @query("select rec_no, id, name_en from kb_records where id = (select max(id) from kb_records)")
 def kb_point_lookup(s, d):
     """All deliveries of one id; the id reaches the scan as a filter."""

@@ -327,6 +327,16 @@ def report_rules(s, d):
     return reports.grades(docs, plain).select("doc_id", "score", "pass", "errors", "warnings", "words")
 
 
+@query("with n as (select doc_id, case doc_id % 5 when 0 then 'item-' || (doc_id % 7) when 1 then 'Prices of plans' when 2 then 'costs' when 3 then '12' else 'other' end as tag from documents) "
+       "select doc_id as id, case when regexp_matches(lower(tag), '^(item[-_ ]?)?[0-9]+$') then 2 else 1 end as place, case when regexp_matches(lower(tag), '^(item[-_ ]?)?[0-9]+$') then '{n}. {title}' else 'Prices' end as heading from n where tag <> 'other'")
+def note_sections(s, d):
+    """The section that each note belongs to, by numbers and by the start of its tag."""
+    k = F.col("doc_id")
+    tag = F.when(k % 5 == 0, F.concat(F.lit("item-"), (k % 7).cast("string"))).when(k % 5 == 1, "Prices of plans").when(k % 5 == 2, "costs").when(k % 5 == 3, "12").otherwise("other")
+    plan = reports.template({"section": [{"heading": "Prices", "keywords": ["cost"]}, {"heading": "{n}. {title}", "repeat_min": 1}]})
+    return reports.place_notes(t(s, d, "documents").select("doc_id", tag.alias("tag")), plan, "doc_id")
+
+
 #: Reports that break one rule each: (body before and after the name of a part, the rules they break).
 _SHAPES = [
     ("# T\n\n## Summary\nAll of ", " is [here](https://a.test/x).\n\n## Sources\n- <https://a.test/x>\n", []),

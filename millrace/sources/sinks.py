@@ -44,6 +44,15 @@ def markdown_text(df: DataFrame) -> str:
     return "\n".join([line(df.columns), "|" + " --- |" * len(df.columns), *map(line, _rows(df))]) + "\n"
 
 
+def checklist_text(issues: DataFrame) -> str:
+    """The issues of reports (severity, rule, line, message) as a Markdown list to tick off, errors first, in order of their lines."""
+    box = lambda r: f"- [ ] **{r['severity']}** {r['rule']}" + (f" (line {r['line']})" if r["line"] is not None else "") + f": {r['message']}"
+    rows = issues.limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise EngineError("too_large", f"more than {MOST_ROWS} rows", "Use write_csv")
+    return "".join(box(r) + "\n" for r in sorted(rows, key=lambda r: (r["severity"] != "error", r["line"] is None, r["line"] or 0, r["rule"]))) or "- [x] no issues\n"
+
+
 def json_text(df: DataFrame) -> str:
     return json.dumps([dict(zip(df.columns, r)) for r in _rows(df)], ensure_ascii=False, indent=2, default=str)
 
