@@ -269,40 +269,50 @@ def read_name(text: str | None) -> dict | None:
 
 
 _PARTS = ["kind", "number", "person", "place", "brand", "stem"]
+_KNOWN: dict[str, dict | None] = {}
 
 
-@F.arrow_udf(T.StructType([T.StructField(p, T.StringType()) for p in _PARTS]))
-def _read(texts: pa.Array) -> pa.Array:
-    rows = [read_name(t) for t in texts.to_pylist()]
-    return pa.StructArray.from_arrays(
-        [pa.array([None if r is None else r[p] for r in rows], pa.string()) for p in _PARTS], names=_PARTS, mask=pa.array([r is None for r in rows]))
-
-
-# else a filter on the result moves below the distinct, and every repeat of a name is read
-_read = _read.asNondeterministic()
+def _remembered(text: str) -> dict | None:
+    """``read_name``, read once for names that repeat in a worker."""
+    if text not in _KNOWN:
+        if len(_KNOWN) > 200_000:
+            _KNOWN.clear()
+        _KNOWN[text] = read_name(text)
+    return _KNOWN[text]
 
 
 def forms(records: DataFrame, id_col: str = "id", names: tuple[str, ...] = ("name_zh", "name_en"), lists: tuple[str, ...] = ("aliases",), url: str = "official_url") -> DataFrame:
     """(id, fid, parts..., dom): the distinct forms of each id, written once.
 
-    ``dom`` is the first label of a site of the organisation's own (no path), '' if none is given.
+    ``dom`` is the first label of a site of the organisation's own (no path), '' if none is given. Names are read where
+    their records lie; what is shuffled are distinct parts.
     """
     parts = [F.array(*names)] + [F.coalesce(F.col(x), F.array().cast("array<string>")) for x in lists]
     base = records.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.concat(*parts).alias("texts"),
+        F.col(id_col).alias("id"), F.array_distinct(F.filter(F.concat(*parts), is_real)).alias("texts"),
         F.regexp_extract(F.coalesce(F.lower(F.trim(F.col(url))), F.lit("")), r"^https?://(?:www\.|m\.|shop\.)?([a-z0-9-]+)\.[a-z.]+/?$", 1).alias("dom"))
-    doms = base.where("dom <> ''").groupBy("id").agg(F.min("dom").alias("dom"))
-    texts = base.select("id", F.explode("texts").alias("text")).where(is_real(F.col("text"))).distinct()
-    # names are few bytes and slow to read, so they are spread over more tasks than their size asks for
-    names = texts.select("text").distinct().repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    read = names.select("text", _read("text").alias("p")).where("p is not null").select("text", "p.*")
-    own = texts.join(read, "text").select("id", *_PARTS).distinct().join(doms, "id", "left").withColumn("dom", F.coalesce("dom", F.lit("")))
-    # a name without a kind counts only where an id has no other
-    typed = F.max(F.col("kind") != "").over(Window.partitionBy("id"))
-    own = own.withColumn("typed", typed).where("kind <> '' or not typed").drop("typed")
+    columns = ["id", *_PARTS, "dom"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = set()
+            for key, texts, dom in zip(*(c.to_pylist() for c in batch.columns)):
+                found = [f for f in map(_remembered, texts) if f]
+                rows.update((key, *(f[p] for p in _PARTS), dom) for f in found)
+                if dom and not found:
+                    rows.add((key, *[None] * len(_PARTS), dom))  # tells the site of an id whose names stand in other rows
+            made = list(zip(*rows)) if rows else [()] * len(columns)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), batch.schema.field("id").type if n == "id" else pa.string()) for n, c in zip(columns, made)], names=columns)
+
+    kind = records.schema[id_col].dataType.simpleString()
+    each = base.mapInArrow(read, f"id {kind}, " + ", ".join(f"{p} string" for p in _PARTS) + ", dom string").distinct()
+    # one site for an id; a name without a kind counts only where an id has no other
+    own = Window.partitionBy("id")
+    each = each.withColumns({"dom": F.coalesce(F.min(F.nullif("dom", F.lit(""))).over(own), F.lit("")), "typed": F.coalesce(F.max(F.col("kind") != "").over(own), F.lit(False))})
+    each = each.where("kind <> '' or (kind = '' and not typed)").drop("typed").dropDuplicates(["id", *_PARTS])
     # a single word, or two Han letters, is a form of its own id only: equal ones need not mean the same
-    alone = F.when(F.expr("kind = '' and dom = '' and instr(brand, ' ') = 0 and length(stem) < 3"), F.col("id")).otherwise(F.lit(""))
-    return cut(own.withColumn("fid", stable_hash(*_PARTS, "dom", alone, seed=3)))
+    alone = F.when(F.expr("kind = '' and dom = '' and instr(brand, ' ') = 0 and length(stem) < 3"), F.col("id").cast("string")).otherwise(F.lit(""))
+    return cut(each.withColumn("fid", stable_hash(*_PARTS, "dom", alone, seed=3)))
 
 
 def usual_letters(own: DataFrame) -> set[str]:
