@@ -1,8 +1,7 @@
 """A knowledge base of records: normalised search with a fuzzy score, imports, merges, ranked origins.
 
-Search scores the distinct normalised texts, not the rows: candidates are narrowed by kind, exact and
-substring matches are plain expressions, and only what is left goes through the Arrow function that
-slides an edit distance and a shortest window over a text.
+A search normalises the texts of the candidates (narrowed by kind) once in expressions; an Arrow function scores whole
+batches for each term, equal texts of a batch once, sliding an edit distance and a shortest window over what does not hold the term.
 """
 
 from __future__ import annotations
