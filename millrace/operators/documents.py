@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..errors import EngineError
 from ..functions.scanners import readable
+from ..session import spread
 
 #: Letters of a section at most, of context on each side of a hit, and snippets of a document at most.
 SECTION_CHARS, CONTEXT, SNIPPETS = 6000, 240, 8
@@ -39,7 +40,7 @@ def per_document(docs: DataFrame, columns: list[str], make: Callable[..., list[t
                     done = []
             yield _table(done, kinds)
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return spread(docs.select(*columns)).mapInArrow(run, schema)
 
 
 def _table(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 from .pricewords import currency_of, read_note, read_row, span_of, unit_of
 
 #: Rows of a series above which it is spread, and rows that a task decodes at once.
@@ -203,7 +203,7 @@ def _read(hits: DataFrame, sites: DataFrame, fx: DataFrame, units: DataFrame) ->
             kinds = [("hit_id", pa.int64()), ("site", pa.string()), ("series", pa.int64()), ("line", pa.int32()), ("unit", pa.string()), ("amounts", pa.list_(pa.float64())), ("costs", pa.list_(pa.float64())), ("told", pa.float64()), ("stated_e4", pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
-    return cut(rows.mapInArrow(run, _READ))
+    return cut(spread(rows).mapInArrow(run, _READ))
 
 
 def harmonize(hits: DataFrame, sites: DataFrame, fx: DataFrame, units: DataFrame) -> DataFrame:

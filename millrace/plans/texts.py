@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.urls import host, normalize_url, registrable
 from ..operators import documents, extraction, knowledge, reports, webhits
+from ..session import spread
 from ..sources import html as page_html
 from ..sources import imports
 from ..sources import tables as table_source
@@ -258,7 +259,7 @@ def html_markdown(s, d):
         F.lit("<html><head><title>"), F.col("p_name"), F.lit(" &amp; Co</title><style>p{}</style></head><body><nav><a href='/n'>Menu</a></nav><h1>"), F.col("p_name"),
         F.lit("</h1><p>Go <a href='p "), F.col("p_partkey").cast("string"), F.lit("'>here</a> now.<ul><li>one<li>two</ul><table><tr><th>A<th>B<tr><td>"), F.col("p_name"),
         F.lit("<td>x|y</table><img src=i.png><script>var a = '</p>'</script><footer>end</footer>"))
-    n = t(s, d, "part")
+    n = spread(t(s, d, "part"))
     return n.select("p_partkey", page_html.markdown(page, F.lit("https://site.example/d/")).alias("md"), tx.page_title(page).alias("title"))
 
 

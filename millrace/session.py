@@ -53,6 +53,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """The rows over all cores, where a small input (at most ``most`` bytes by its statistics) lies in fewer files than there are cores.
+
+    For work that is slow for its bytes. Larger inputs, and those of many files, stay as they are, so no large text is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size <= most and 0 < len(df.inputFiles()) < cores else df
+
+
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 32, hot: int = 20_000) -> DataFrame:
     """Equi-join on the column ``key``, with the rows of hot keys of ``left`` spread over ``salts`` tasks.
 
