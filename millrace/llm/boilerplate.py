@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Hash buckets of words, size of a word vector, size of each LSTM state.
 WORDS, WIDE, HIDDEN = 8192, 16, 24
 #: Pages that the network is fitted on at most.
@@ -394,7 +396,7 @@ def furniture_lines(pages: DataFrame, id_col: str = "doc_id", body: str = "body"
                     keys += [key] * len(hit)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(lines, pa.int32())], names=[id_col, "line_no"])
 
-    return pages.select(id_col, body).mapInArrow(run, f"{id_col} {kind}, line_no int")
+    return spread(pages.select(id_col, body)).mapInArrow(run, f"{id_col} {kind}, line_no int")
 
 
 def main_body(body: Column | str, limit: float = LIMIT) -> Column:

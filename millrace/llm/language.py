@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, skew_join, stable_hash
+from ..session import cut, skew_join, spread, stable_hash
 
 LANGS = ["en", "zh", "ja", "de", "fr", "es", "pt"]
 #: The names of the languages in labels, by language.
@@ -294,7 +294,7 @@ def segments(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang:
                  pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int32()), pa.array(cols[6], pa.string()), pa.array(cols[7], pa.int32())],
                 names=["id", "seg_no", "lang", "confidence", "start", "length", "label", "n_langs"])
 
-    return joined.select("id", "label", "text", "prior").mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return spread(joined.select("id", "label", "text", "prior")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def mislabelled(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut, stable_hash
+from ..session import cut, spread, stable_hash
 from .lookalike import transducer
 from .survivor import is_real
 
@@ -305,7 +305,7 @@ def forms(records: DataFrame, id_col: str = "id", names: tuple[str, ...] = ("nam
             yield pa.RecordBatch.from_arrays([pa.array(list(c), batch.schema.field("id").type if n == "id" else pa.string()) for n, c in zip(columns, made)], names=columns)
 
     kind = records.schema[id_col].dataType.simpleString()
-    each = base.mapInArrow(read, f"id {kind}, " + ", ".join(f"{p} string" for p in _PARTS) + ", dom string").distinct()
+    each = spread(base).mapInArrow(read, f"id {kind}, " + ", ".join(f"{p} string" for p in _PARTS) + ", dom string").distinct()
     # one site for an id; a name without a kind counts only where an id has no other
     own = Window.partitionBy("id")
     each = each.withColumns({"dom": F.coalesce(F.min(F.nullif("dom", F.lit(""))).over(own), F.lit("")), "typed": F.coalesce(F.max(F.col("kind") != "").over(own), F.lit(False))})
