@@ -67,3 +67,14 @@ def test_groups_in_order_and_counts(spark):
     df = frame(spark, ["A", "B"], [["z", "1"], ["a", "2"], ["z", "x"], ["m", ""]])
     assert [r.A for r in TableQuery(group_by="a", agg=["sum:B"]).run(df).collect()] == ["z", "a", "m"]
     assert tuple(TableQuery(limit=2, sort="-B").counts(df).first()) == (4, 2, True) and tuple(TableQuery(where=["A = q"]).counts(df).first()) == (0, 0, False)
+
+
+def test_small_inputs_are_spread(spark, tmp_path):
+    """One small file over all cores; larger inputs, many files and made-up rows stay as they are."""
+    from millrace.session import spread
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(1000).repartition(8).write.parquet(str(tmp_path / "many"))
+    one, many = (spark.read.parquet(str(tmp_path / n)) for n in ("one", "many"))
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(one).count() == 1000
+    assert spread(one, most=10).rdd.getNumPartitions() == 1 and spread(many) is many and spread(made := spark.range(5)) is made
