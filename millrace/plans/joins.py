@@ -86,7 +86,7 @@ def sql_functions(s, d):
     """The registered functions in a SQL text."""
     register(s)
     messy_part(s, d).join(t(s, d, "part").select("p_partkey", "p_name", "p_type"), "p_partkey").createOrReplaceTempView("sql_functions_part")
-    return s.sql("select p_partkey, cell_number(Price) as price, edit_distance(p_name, p_type) as edits from sql_functions_part")
+    return s.sql("select p_partkey, cell_number(Price) as price, cast(edit_distance(p_name, p_type) as bigint) as edits from sql_functions_part")
 
 
 @query("select count(*) as total, least(count(*), 20) as returned, count(*) > 20 as truncated from part where p_size > 10")

@@ -296,7 +296,7 @@ def edit_distances(s, d):
     from ..functions.register import register
 
     register(s)
-    return t(s, d, "part").select("p_partkey", F.call_function("edit_distance", F.col("p_name"), F.col("p_type")).alias("edits"))
+    return t(s, d, "part").select("p_partkey", F.call_function("edit_distance", F.col("p_name"), F.col("p_type")).cast("bigint").alias("edits"))
 
 
 # ---------------------------------------------------------------- series
