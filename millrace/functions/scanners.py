@@ -289,6 +289,7 @@ def numbers(text: str, host: str = "") -> list[tuple]:
 
 # ---------------------------------------------------------------- links and addresses
 
+#: Shapes of Markdown links, of bare URLs and of e-mail addresses.
 _LINK = re.compile(r'\[([^\]]*)\]\(([^)\s]+)(?:\s+"[^"]*")?\)')
 _BARE_URL = re.compile(r"""https?://[^\s<>()\[\]"'`]+""")
 _ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
@@ -347,12 +348,13 @@ NO_HAN_NAME = frozenset("的是在了表示說说也將将與与和及為为等
 _PARTICLES = frozenset("van von de der den da di du del la le bin al".split())
 _BEING, _ARTICLES = ("is", "was", "serves as", "served as", "became", "has been", "remains"), ("the", "a", "an", "its")
 
-_spaced = lambda words: "|".join(regex.escape(w).replace(r"\ ", r"\s+") for w in sorted(words, key=len, reverse=True))
+#: Shapes of a capitalised run (an organisation) and of a word of a name.
 _TITLE_RUN = r"\p{Lu}[\p{L}\d&.'’-]*(?:\s+(?:&\s+)?\p{Lu}[\p{L}\d&.'’-]*){0,3}"
+_NAME_WORD = regex.compile(r"(?:Mc|Mac|O')?\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?")
+_spaced = lambda words: "|".join(regex.escape(w).replace(r"\ ", r"\s+") for w in sorted(words, key=len, reverse=True))
 _ONE_ROLE = rf"(?:(?i:{_spaced(FIELD_ROLES)})(?:\s+(?i:of|for)\s+(?:the\s+)?{_TITLE_RUN})?|(?i:{_spaced(LONE_ROLES)}|chief\s+[a-z]+(?:\s+[a-z]+)?\s+officer))"
 _ROLES = regex.compile(rf"(?<!\p{{L}}){_ONE_ROLE}(?:\s*(?:,|and|&)\s*{_ONE_ROLE}){{0,3}}")
 _ROLE_WORD = re.compile("|".join(sorted({regex.split(r"[ -]", r)[-1] for r in (*LONE_ROLES, *FIELD_ROLES)} | {"officer"}, key=len, reverse=True)), re.I)
-_NAME_WORD = regex.compile(r"(?:Mc|Mac|O')?\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?")
 _NAME_WORDS = regex.compile(rf"{_NAME_WORD.pattern}(?:\s+\p{{Lu}}\.)?(?:\s+(?:(?:{'|'.join(sorted(_PARTICLES))})\s+){{0,2}}{_NAME_WORD.pattern}){{1,2}}")
 _ORG_AFTER = regex.compile(rf",?\s+(?:of|at)\s+(?:the\s+)?({_TITLE_RUN})")
 _ORG_IN = regex.compile(rf"(?:,\s*|\s+(?:of|at)\s+)(?:the\s+)?({_TITLE_RUN})(?=\))")

@@ -209,3 +209,20 @@ def checklist_sink(s, d):
     lines = s.createDataFrame([(x,) for x in sinks.checklist_text(issues).splitlines()], "x string")
     part = lambda i: F.regexp_extract("x", r"^- \[ \] \*\*(\w+)\*\* (rule \d+)(?: \(line (\d+)\))?: mend it$", i)
     return lines.select(part(1).alias("severity"), part(2).alias("rule"), part(3).try_cast("int").alias("line"))
+
+
+@query("select p_partkey, case p_partkey % 5 when 0 then '# ' || p_name || chr(10) when 1 then '{' || chr(10) || '  \"size\": ' || p_size || chr(10) || '}' when 2 then 'just ' || p_name when 3 then '# ' || p_brand || chr(10) end as body from part")
+def response_bodies(s, d):
+    """Responses by their content type: a page, JSON, text, a page without a type, an image."""
+    k, n = F.col("p_partkey") % 5, F.col("p_name")
+    text = (F.when(k == 0, F.concat(F.lit("<body><h1>"), n, F.lit("</h1></body>"))).when(k == 1, F.concat(F.lit('{"size":'), F.col("p_size").cast("string"), F.lit("}"))).when(k == 2, F.concat(F.lit("just "), n))
+            .when(k == 3, F.concat(F.lit("<!DOCTYPE html><html><h1>"), F.col("p_brand"), F.lit("</h1></html>"))).otherwise("GIF89a"))
+    kind = F.when(k == 0, "text/html; charset=utf-8").when(k == 1, "application/json").when(k == 2, "text/plain").when(k == 4, "image/gif")
+    return t(s, d, "part").select("p_partkey", html.readable_body(F.encode(text, "UTF-8"), kind).alias("body"))
+
+
+@query("select doc_id, title from fetched_docs where doc_id = (select max(doc_id) from fetched_docs)")
+def document_handle(s, d):
+    """A stored document by its handle."""
+    docs = t(s, d, "fetched_docs").select("doc_id", "title")
+    return catalog.document(docs, f"DOC:{docs.agg(F.max('doc_id')).first()[0]}")

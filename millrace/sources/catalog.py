@@ -65,3 +65,13 @@ class Catalog:
             recent = ", ".join(f"tbl:{e['id']} {e['title']}".strip() for e in self._entries()[-5:][::-1])
             raise EngineError("not_found", f"no table `{handle}`", f"Recent tables: {recent}" if recent else "No table is saved yet")
         return self.spark.read.parquet(str(self.root / json.loads(path.read_text())["folder"]))
+
+
+def document(docs: DataFrame, handle: str, id_col: str = "doc_id", title: str = "title") -> DataFrame:
+    """The stored document of a handle ``doc:N`` (without case); if there is none, the error names the five latest."""
+    kind, _, n = handle.strip().lower().partition(":")
+    found = docs.where(F.col(id_col) == int(n)) if kind == "doc" and n.isdigit() else docs.limit(0)
+    if found.isEmpty():
+        latest = docs.select(id_col, title).orderBy(F.desc(id_col)).limit(5).collect()
+        raise EngineError("not_found", f"no document `{handle}`", "Recent documents: " + ", ".join(f"doc:{r[0]} {r[1] or ''}".strip() for r in latest) if latest else "No document is stored yet")
+    return found

@@ -4,6 +4,7 @@ absolute; data tables become pipe tables, layout tables flowing text; images are
 from __future__ import annotations
 
 import html as entities
+import json
 import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -240,3 +241,30 @@ def decoded(raw: Column, content_type: Column) -> Column:
         return pa.array(out, pa.string())
 
     return run(raw, content_type)
+
+
+def readable_body(raw: Column, content_type: Column, url: Column | None = None) -> Column:
+    """Column of the text of a response: Markdown for HTML, indented JSON, other text as it is; null for what is no text.
+
+    HTML is told by the content type, or by how the page begins where none is given. JSON that cannot be read stays as it is.
+    """
+
+    @F.arrow_udf(T.StringType())
+    def run(texts: pa.Array, kinds: pa.Array, bases: pa.Array) -> pa.Array:
+        out = []
+        for text, kind, base in zip(texts.to_pylist(), kinds.to_pylist(), bases.to_pylist()):
+            kind = (kind or "").lower()
+            if text is None:
+                out.append(None)
+            elif "html" in kind or (not kind and re.match(r"\s*<(?:!doctype html|html)\b", text, re.I)):
+                out.append(to_markdown(text, base))
+            elif "json" in kind:
+                try:
+                    out.append(json.dumps(json.loads(text), ensure_ascii=False, indent=2))
+                except ValueError:
+                    out.append(text)
+            else:
+                out.append(text)
+        return pa.array(out, pa.string())
+
+    return run(decoded(raw, content_type), content_type, url if url is not None else F.lit(None).cast("string"))

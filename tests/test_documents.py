@@ -197,3 +197,16 @@ def test_html_tables_sources_and_one_pass(spark):
     assert {tuple(r) for r in got} == {(1, "doc:2"), (2, "doc:1")}
     with pytest.raises(EngineError):
         X.named_sources(" , ")
+
+
+def test_bodies_and_handles(spark):
+    from millrace.sources.catalog import document
+
+    df = spark.createDataFrame([(1, b"<p>x", "text/html"), (2, b"{broken", "application/json"), (3, None, None), (4, b"\xff\xd8", "image/jpeg"), (5, b"", None)], "id int, raw binary, kind string")
+    assert [r[0] for r in df.select(html.readable_body(F.col("raw"), F.col("kind"))).collect()] == ["x\n", "{broken", None, None, ""]
+    docs = spark.createDataFrame([(i, f"T{i}") for i in range(7)], "doc_id long, title string")
+    assert document(docs, " Doc:3 ").first().title == "T3"
+    for bad in ("doc:99", "tbl:1", "doc:x", ""):
+        with pytest.raises(EngineError) as e:
+            document(docs, bad)
+        assert "doc:6 T6" in e.value.hint and "doc:1 " not in e.value.hint
