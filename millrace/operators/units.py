@@ -40,7 +40,7 @@ HOT, BLOCK = 50_000, 2_048
 #: Cost (nats) of a reading against the field ``value`` and of the unlikelier reading of a separator.
 AGAINST_VALUE, UNLIKELIER = 3.0, 1.0
 #: Scales that may be meant though nobody tells them.
-OPEN_SCALES = (1e3, 1e6, 1e-2, 1e-3)
+OPEN_SCALES = (1e3, 1e4, 1e6, 1e-2, 1e-3)
 #: Cost of entering such a scale, and of going back.
 ENTER, LEAVE = 7.0, 2.0
 #: Cost of each squared decade beyond the usual spread; share by which a level follows an amount; least spread (decades).
