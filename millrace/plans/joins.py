@@ -47,10 +47,10 @@ def as_of_join_tolerance(s, d):
 
 @query("with r as (select p_partkey, p_retailprice - 900 as low, p_retailprice - 900 + p_size as high from part) select p_partkey, count(*) as orders, min(o_orderkey) as first from orders join r on o_totalprice / 100 >= low and o_totalprice / 100 < high group by p_partkey")
 def range_join(s, d):
-    """Orders whose price lies in the range of a part."""
+    """Orders whose price lies in the range of a part, counted without the pairs."""
     o = t(s, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 100).alias("x"))
     r = t(s, d, "part").select("p_partkey", (F.col("p_retailprice") - 900).alias("low"), (F.col("p_retailprice") - 900 + F.col("p_size")).alias("high"))
-    return joins.within(o, r, "x", "low", "high", width=25.0).groupBy("p_partkey").agg(F.count(F.lit(1)).alias("orders"), F.min("o_orderkey").alias("first"))
+    return joins.within_totals(o, r, "x", "low", "high", "o_orderkey").groupBy("p_partkey").agg(F.sum("n").alias("orders"), F.min("least").alias("first"))
 
 
 @query("select o.o_orderkey, n.n_name from orders o join customer c on o_custkey = c_custkey join nation n on c_nationkey >= n_nationkey and c_nationkey < n_nationkey + 2 where o_totalprice > 400000")

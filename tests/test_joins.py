@@ -49,6 +49,39 @@ def test_within_against_all_pairs(spark):
         joins.within(p, q, "x", "lo", "hi", -1)
 
 
+def test_totals_against_all_pairs(spark):
+    """One to four levels of blocks; ties, nulls, infinite ends, not a number, negative zero, repeated and empty ranges."""
+    r = random.Random(4)
+    inf, nan = float("inf"), float("nan")
+    points = [(r.randrange(500) if i % 9 else None, r.choice((r.uniform(-50, 50), float(r.randrange(-9, 9)))) if i % 8 else None) for i in range(400)] + [(7, nan), (8, inf), (9, -inf), (None, 77.0), (3, -0.0)]
+    ranges = [(i, lo := r.choice((r.uniform(-60, 50), float(r.randrange(-9, 9)))), lo + r.choice((0.0, 0.5, 1.0, 10.0, 90.0))) for i in range(150)]
+    ranges += [(1, 0.0, 1.0), (1, 0.0, 1.0), (200, -inf, inf), (201, -inf, nan), (202, nan, nan), (203, None, 5.0), (204, 1.0, None), (205, 5.0, 1.0), (206, 77.0, 78.0), (207, 900.0, 901.0), (208, 0.0, 0.5)]
+    p = spark.createDataFrame(points, "v int, x double").repartition(5)
+    q = spark.createDataFrame(ranges, "rid int, lo double, hi double").repartition(3)
+    up = lambda a: (1, 0.0) if a != a else (0, a)  # noqa: E731  # not a number is the largest number
+    want = []
+    for i, lo, hi in ranges:
+        inside = [v for v, x in points if None not in (x, lo, hi) and up(lo) <= up(x) < up(hi)]
+        want += [(i, len(inside), min((v for v in inside if v is not None), default=None))] if inside else []
+    assert any(w[2] is None for w in want)
+    for block in (3, 64, 1024):
+        got = joins.within_totals(p, q, "x", "lo", "hi", "v", block).select("rid", "n", "least").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert joins.within_totals(p.limit(0), q, "x", "lo", "hi", "v").count() == 0 and joins.within_totals(p, q.limit(0), "x", "lo", "hi", "v").count() == 0
+
+
+def test_range_join_makes_no_pairs(spark, tmp_path):
+    """Every range holds every point: 900 million pairs, counted from 60,000 rows."""
+    n = 30_000
+    spark.range(n).selectExpr("id as o_orderkey", "5000.0d + id % 100 as o_totalprice").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(n).selectExpr("id as p_partkey", "910.0d + id % 10 as p_retailprice", "500 as p_size").write.parquet(str(tmp_path / "part.parquet"))
+    from millrace.plans.joins import Q
+
+    got = Q["range_join"](spark, str(tmp_path))
+    assert "__bin" not in got._jdf.queryExecution().toString()
+    assert got.groupBy("orders", "first").count().collect() == [(n, 0, n)]
+
+
 def test_numbered(spark):
     df = spark.createDataFrame([(i * 7 % 100, None if i % 10 else "x") for i in range(100)], "a int, b string").repartition(7)
     got = joins.numbered(df, F.desc("a")).collect()
