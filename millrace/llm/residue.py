@@ -22,10 +22,13 @@ residue. Rows with the same content are judged alike. Rows without a site count
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -135,11 +138,37 @@ _GAP_HINT = re.compile(r"  | [,.;:!?)，。；：！？]|[(（] *[)）]|[:：]$|
 _HAN = regex.compile(r"\p{Han}|\p{Hiragana}|\p{Katakana}")
 
 
+#: Keys of lines are their bytes as one number, by this prime.
+_PRIME = (1 << 62) - 57
+
+
+class _Piece(NamedTuple):
+    """A stretch of a line whose slots are ␣, as words with single spaces between: key, bytes, letters (a Han letter counts twice), and whether a space or slot is its first or last."""
+
+    key: int = 0
+    size: int = 0
+    letters: int = 0
+    first: bool = False
+    last: bool = False
+
+
+def _piece(text: str) -> _Piece:
+    text = text.replace("␣", " ␣ ")
+    flat = " ".join(text.lower().replace("ς", "σ").split())  # the only letter whose lower case depends on its neighbours
+    raw = flat.encode("utf-8", "surrogatepass")
+    return _Piece(int.from_bytes(raw, "big") % _PRIME, len(raw), sum(c.isalpha() for c in flat) + len(_HAN.findall(flat)), text[:1].isspace(), text[-1:].isspace())
+
+
+def _joined(a: _Piece, b: _Piece) -> _Piece:
+    """The piece of two stretches side by side."""
+    space = bool(a.size and b.size and (a.last or b.first))
+    key = ((a.key * 256 + 32 if space else a.key) * pow(256, b.size, _PRIME) + b.key) % _PRIME
+    return _Piece(key, a.size + b.size + space, a.letters + b.letters, a.first or (not a.size and b.first), b.last or (not b.size and a.last))
+
+
 def _constant(text: str) -> int | None:
-    """The key of a line whose slots are ␣, None if too little of it is constant. A Han letter counts twice."""
-    flat = " ".join(text.replace("␣", " ␣ ").lower().split())
-    letters = sum(c.isalpha() for c in flat) + len(_HAN.findall(flat))
-    return zlib.crc32(flat.encode("utf-8", "surrogatepass")) if letters >= MIN_CONSTANT else None
+    """The key of a line whose slots are ␣, None if too little of it is constant."""
+    return p.key if (p := _piece(text)).letters >= MIN_CONSTANT else None
 
 
 def _slots(line: str) -> str:
@@ -159,18 +188,51 @@ def filled_slots(line: str) -> list[tuple[int, str]]:
 
 
 def empty_slots(line: str) -> list[int]:
-    """Keys that the line has if its gaps, or its texts in marks, are slots."""
+    """Keys that the line has if all its gaps, or all its texts in marks, are slots, or any one of them."""
     out = []
     for pattern in (*([_MARKED] if _MARK_HINT.search(line) else []), *([_GAP] if _GAP_HINT.search(line) else [])):
         hits = [m.span() for m in pattern.finditer(line)]
-        for some in [hits, *([h] for h in hits[:4] if len(hits) > 1)] if hits else ():
+        if hits:
             text, end = "", 0
-            for a, b in some:
+            for a, b in hits:
                 text, end = text + line[end:a] + "␣", b
             out += [_constant(x) for x in (_FILLED.sub("␣", text + line[end:]), _slots(text + line[end:]))]
+        if len(hits) > 1:
+            out += _one_open(line, hits, 0)
+            if m := _NAME.match(line):
+                out += [_constant(_slots(line[:a] + "␣" + line[b:])) for a, b in hits if a < m.end()]  # one at most, as words in marks end where a name does
+                out += _one_open(line, [h for h in hits if h[0] >= m.end()], m.end())
     return sorted({k for k in out if k is not None})
 
 
+def _one_open(line: str, hits: list[tuple[int, int]], at: int) -> list[int | None]:
+    """For each hit, the key of the line with that hit as a slot, beside its names and numbers after ``at``.
+
+    The line is cut at the edges of hits, or of a name or number that reaches over such an edge, and its pieces are joined from
+    both ends, so the work grows with the line and its hits, not with their product.
+    """
+    filled = [m.span() for m in _FILLED.finditer(line, at)]
+    begins = [a for a, _ in filled]
+
+    def around(i: int) -> tuple[int, int]:
+        k = bisect.bisect_left(begins, i) - 1
+        return filled[k] if k >= 0 and filled[k][1] > i else (i, i)
+
+    def piece(a: int, b: int) -> _Piece:
+        return _piece(line[a:b] if a < at else _FILLED.sub("␣", line[a:b]))
+
+    edges = [(around(a)[0], around(b)[1]) for a, b in hits]
+    cuts = sorted({0, at, len(line)}.union(*edges))
+    pieces = [piece(a, b) for a, b in itertools.pairwise(cuts)]
+    before = dict(zip(cuts, itertools.accumulate(pieces, _joined, initial=_Piece())))
+    after = dict(zip(reversed(cuts), itertools.accumulate(reversed(pieces), lambda right, left: _joined(left, right), initial=_Piece())))
+    slot, out = _piece("␣"), []
+    for (a, b), (begin, end) in zip(hits, edges):
+        p = functools.reduce(_joined, (before[begin], piece(begin, a), slot, piece(b, end), after[end]))
+        out.append(p.key if p.letters >= MIN_CONSTANT else None)
+    return out
+
+
 _OPENERS = frozenset("{[<%_@(【#$")
 
 

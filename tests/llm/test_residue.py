@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from millrace.llm import residue as R
@@ -75,3 +78,46 @@ def test_slots_are_induced_from_aligned_records(spark):
     make = lambda values: {r.doc_id for r in R.found(spark.createDataFrame([(i, f"{i}.test", "T", TEXT + "\n\n" + line.format(v)) for i, v in enumerate(values)], "doc_id long, site string, title string, body string")).collect()}
     assert make(names + bad) == set(range(25, 40))
     assert make(["<name>", "John Doe", ""]) == set() and make(names) == set()
+
+
+def test_any_of_many_marks_may_be_the_slot(spark):
+    """One of seven texts in marks is a slot that six records fill, wherever it stands."""
+    words = ["$desk", "#help", "<info>", "[sales]", "@press", "%board%", "?? open"]
+    rows = []
+    for place in range(7):
+        for i, value in enumerate(["Ana", "Bob", "Carla", "Dora", "Emil", "Fay", "<name>"]):
+            line = "Write to " + ", ".join(words[:place] + [value] + words[place + 1 :]) + " about the request."
+            rows.append((place * 10 + i, f"{i}.test", "T", TEXT + "\n\n" + line))
+    assert _found(spark, rows) == {place * 10 + 6: "line" for place in range(7)}
+
+
+def test_one_open_slot_against_every_line():
+    """The keys of single slots, joined from pieces, are those of the whole lines."""
+    r = random.Random(5)
+    parts = ["Ana", "Xxx", "XXX", "N/A", "TBD", " ", "  ", " ", "-", "--", "'", "12", "3.", "1....2", "4", "....", "%x y%", "{a}", "<B c>", "[d]", "$e", "#Fay", "@g@", "__", "??", "word", "ΑΣ", "Σ", "\u3000", "字", "␣", ",", " ,", "()", "( )", ":", "é", "ｶ", "İ"]
+    seen = 0
+    for _ in range(4000):
+        line = "".join(r.choice(parts) for _ in range(r.randrange(2, 30))).strip()
+        got = R.empty_slots(line)
+        want = set()
+        for pattern in (R._MARKED, R._GAP):
+            hits = [m.span() for m in pattern.finditer(line)]
+            seen += len(hits) > 4
+            for some in [hits, *([h] for h in hits)] if hits else []:
+                text, end = "", 0
+                for a, b in some:
+                    text, end = text + line[end:a] + "␣", b
+                want |= {R._constant(R._FILLED.sub("␣", text + line[end:])), R._constant(R._slots(text + line[end:]))}
+        if R._MARK_HINT.search(line) and R._GAP_HINT.search(line):
+            assert set(got) == want - {None}, line
+        else:
+            assert set(got) <= want
+    assert seen > 400
+
+
+def test_many_marks_in_one_long_line():
+    """Forty thousand marks in a line of half a megabyte."""
+    line = " ".join(f"[x{'abcdefghij'[i % 10]}{i}], word" for i in range(40_000))
+    began = time.time()
+    keys = R.empty_slots(line)
+    assert len(keys) > 40_000 and time.time() - began < 60
